@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 
@@ -25,8 +27,23 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import ship
 
-#: Pieces of at most so many bytes are remembered with their ids, up to so many pieces.
-CACHED_BYTES, CACHED_PIECES, CACHED_PAIRS = 48, 300_000, 1_000_000
+#: Pieces of at most so many bytes are encoded together and remembered. Beyond so many of them,
+#: only those of the current batch are kept. Tests of pairs are kept in bounded tables as well.
+SHORT_BYTES, CACHED_PIECES, CACHED_PAIRS, PAIR_SLOTS = 48, 400_000, 1_000_000, 1 << 21
+
+#: The standard library's engine is faster, but knows no \\p classes: for texts below U+0250 the
+#: letters, numbers and white space are listed. Used only for the pattern that it spells out.
+NOT_LATIN = re.compile("[^\x00-\u024f]")
+LATIN_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼-¾", r"\s": "\t-\r \x85\xa0"}
+
+
+def latin_pattern(pattern: str):
+    """The pattern with its classes listed for characters below U+0250, or None if it has others."""
+    out = pattern.replace(r"\S", "[^" + LATIN_CLASSES[r"\s"] + "]")
+    for k, v in LATIN_CLASSES.items():
+        out = "".join(x if i % 2 else x.replace(k, f"[{v}]") for i, x in enumerate(re.split(r"(\[[^\]]*\])", out))) if k != r"\s" else out
+        out = "".join(x.replace(k, v) if i % 2 else x.replace(k, f"[{v}]") for i, x in enumerate(re.split(r"(\[[^\]]*\])", out)))
+    return None if re.search(r"\\[a-zA-Z]", out) else re.compile(out)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,9 +59,43 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.latin = regex.compile(pattern), latin_pattern(pattern)
+        self._build_trie()
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, tuple[int, str]] = {}
+        self._slot_key = np.full(PAIR_SLOTS, -1, np.int64)
+        self._slot_ok = np.zeros(PAIR_SLOTS, bool)
+        self.memory: dict[str, str] = {}
+        self.names = {t: str(t) for t in self.tokens}
+        self.named = {str(t): data for t, data in self.tokens.items()}
+
+    def _build_trie(self) -> None:
+        """As nested dicts for single pieces, and as arrays for many: next node by node and byte, token by node."""
+        self.trie: dict = {}
+        inner, nodes = [self.trie], [self.trie]
+        for token, rank in self.ranks.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[-1] = rank
+        for node in nodes:
+            nodes += [x for k, x in node.items() if k >= 0]
+        inner = [x for x in nodes if any(k >= 0 for k in x)] or [self.trie]
+        number = {id(x): i for i, x in enumerate(inner)}
+        for x in nodes:
+            number.setdefault(id(x), len(number))
+        self.inner = len(inner)
+        self.next = np.full((self.inner, 256), -1, np.int32)
+        self.token_at = np.full(len(number), -1, np.int32)
+        for x in nodes:
+            i = number[id(x)]
+            self.token_at[i] = x.get(-1, -1)
+            for k, child in x.items():
+                if k >= 0:
+                    self.next[i, k] = number[id(child)]
+        self.start = max(self.tokens, default=0) + 1
+        self.length = np.zeros(self.start + 1, np.int32)
+        for t, data in self.tokens.items():
+            self.length[t] = len(data)
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; only used on the bytes of one or two tokens."""
@@ -73,17 +124,30 @@ class Vocabulary:
         return got
 
     def extend(self, data: bytes, last: list[int], start: int) -> None:
-        """Fill ``last[i]``, the last token of ``data[:i]``, for i from start+1 on."""
-        ranks, longest, fits, lens = self.ranks, self.longest, self.fits, self.tokens
+        """Fill ``last[i]``, the last token of ``data[:i]``, for i from start+1 on.
+
+        From each prefix's end j all tokens that follow there are walked in a trie; whichever
+        forms a lasting pair with ``last[j]`` is the last token of the prefix that it ends.
+        """
+        n, pairs, fits, trie = len(data), self._pairs, self.fits, self.trie
         del last[start + 1 :]
-        for i in range(start + 1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                t = ranks.get(data[j:i])
-                if t is not None and fits(last[j], t):
-                    last.append(t)
-                    break
-            else:
+        last += [-1] * (n - start)
+        for j in range(max(0, start + 1 - self.longest), n):
+            left, node = last[j], trie
+            if left < 0 < j:
                 raise ValueError("the ranks do not cover all bytes")
+            for i in range(j, n):
+                node = node.get(data[i])
+                if node is None:
+                    break
+                if i >= start and last[i + 1] < 0:
+                    t = node.get(-1)
+                    if t is not None:
+                        ok = pairs.get((left, t))
+                        if fits(left, t) if ok is None else ok:
+                            last[i + 1] = t
+        if n > start and last[n] < 0:
+            raise ValueError("the ranks do not cover all bytes")
 
     def read_off(self, last: list[int]) -> list[int]:
         out, i = [], len(last) - 1
@@ -101,20 +165,83 @@ class Vocabulary:
         self.extend(data, last, 0)
         return self.read_off(last)
 
-    def piece(self, text: str) -> tuple[int, str]:
-        """Number of ids, and the ids joined by spaces."""
-        got = self._pieces.get(text)
-        if got is None:
-            ids = self.encode_piece(text.encode())
-            got = len(ids), " ".join(map(str, ids))
-            if len(text) <= CACHED_BYTES:
-                if len(self._pieces) >= CACHED_PIECES:
-                    self._pieces.clear()
-                self._pieces[text] = got
-        return got
+    def fits_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` of many pairs, by slots that each hold the last pair tested that hashes there."""
+        key = left.astype(np.int64) * (self.start + 1) + right
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64) % PAIR_SLOTS
+        out = self._slot_ok[slot]
+        miss = np.flatnonzero(self._slot_key[slot] != key)
+        if len(miss):
+            new, at = np.unique(key[miss], return_index=True)
+            at = miss[at]
+            pairs = [(-1 if a == self.start else a, b) for a, b in zip(left[at].tolist(), right[at].tolist())]
+            ok = np.array([self.fits(*p) for p in pairs], bool)
+            out[miss] = ok[np.searchsorted(new, key[miss])]
+            self._slot_key[slot[at]], self._slot_ok[slot[at]] = new, ok
+        return out
+
+    def encode_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of short pieces, their tables of last tokens filled side by side."""
+        n = np.array([len(p) for p in pieces], np.int32)
+        width = int(n.max(initial=0))
+        data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
+        last = np.full((len(pieces), width + 1), -1, np.int32)
+        last[:, 0] = self.start
+        for j in range(width):
+            rows = np.flatnonzero(n > j)
+            if (last[rows, j] < 0).any():
+                raise ValueError("the ranks do not cover all bytes")
+            node = np.zeros(len(rows), np.int32)
+            for i in range(j, width):
+                node = self.next[node, data[rows, i]]
+                on = node >= 0
+                if i >= j + 1:
+                    on &= n[rows] > i
+                rows, node = rows[on], node[on]
+                token = self.token_at[node]
+                test = np.flatnonzero((token >= 0) & (last[rows, i + 1] < 0))
+                if len(test):
+                    ok = test[self.fits_many(last[rows[test], j], token[test])]
+                    last[rows[ok], i + 1] = token[ok]
+                on = node < self.inner
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+        at, rows, back = n.copy(), np.arange(len(pieces)), []
+        while len(rows):
+            t = last[rows, at[rows]]
+            if (t < 0).any():
+                raise ValueError("the ranks do not cover all bytes")
+            back.append((rows, t))
+            at[rows] -= self.length[t]
+            rows = rows[at[rows] > 0]
+        rows = np.concatenate([r for r, _ in back]) if back else np.zeros(0, np.int64)
+        step = np.concatenate([np.full(len(r), -k) for k, (r, _) in enumerate(back)]) if back else rows
+        ids = (np.concatenate([t for _, t in back]) if back else rows)[np.lexsort((step, rows))].tolist()
+        ends = np.cumsum(np.bincount(rows, minlength=len(pieces))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, texts: list[list[str]]) -> dict[str, str]:
+        """A dict with the ids, joined by spaces, of all pieces of some texts (and of others)."""
+        pieces, memory = set().union(*texts), self.memory
+        new = [p for p in pieces if p not in memory]
+        raw = [p.encode() for p in new]
+        short = [i for i, p in enumerate(raw) if 0 < len(p) <= SHORT_BYTES and p not in self.ranks]
+        made = dict(zip(short, self.encode_many([raw[i] for i in short]))) if short else {}
+        names = self.names
+        for i, p in enumerate(new):
+            memory[p] = " ".join([names[t] for t in made.get(i) or self.encode_piece(raw[i])])
+        if len(memory) > CACHED_PIECES:
+            self.memory = {p: x for p in pieces if len(p) <= SHORT_BYTES and (x := memory[p])}
+        return memory
+
+    def pieces(self, text: str) -> list[str]:
+        if self.latin and not NOT_LATIN.search(text):
+            return self.latin.findall(text)
+        return self.pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        return [t for p in self.pattern.findall(text) for t in self.encode_piece(p.encode())]
+        return [t for p in self.pieces(text) for t in self.encode_piece(p.encode())]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -164,15 +291,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         v = vocabulary(path, pattern)
         for b in batches:
             ids, counts, digests, decoded = [], [], [], []
-            for text in _texts(b):
-                got = list(map(v.piece, v.pattern.findall(text)))
-                joined = " ".join([x[1] for x in got])
-                own = list(map(int, joined.split()))
-                counts.append(len(own))
+            texts = [v.pieces(text) for text in _texts(b)]
+            known = v.learn(texts)
+            for own in texts:
+                joined = " ".join(map(known.__getitem__, own))
+                names = joined.split()
+                counts.append(len(names))
                 digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(v.decode(own)).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(v.named.__getitem__, names))).hexdigest())
                 if with_ids:
-                    ids.append(own)
+                    ids.append(list(map(int, names)))
             cols = [b.column("id")] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [n for n, _ in fields])
 
