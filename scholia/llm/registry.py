@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import queries_a
+from scholia.llm import queries_a, queries_b
 
-MODULES = [queries_a]
+MODULES = [queries_a, queries_b]
 
 
 def queries() -> dict:
