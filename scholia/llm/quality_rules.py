@@ -77,19 +77,17 @@ def base_failed():
 
 def rule_columns() -> dict:
     """Name to a whole number from 0 to GRID, high for junk."""
-    n, lines = F.greatest(F.col("n_words"), F.lit(1)), F.col("n_words")
+    n = F.greatest(F.col("n_words"), F.lit(1))
     step = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(GRID)).cast("int")
     return {
         "symbols": step(F.col("n_symbols") * 500 / n),
         "dup_lines": step(F.col("n_dup_lines") * 5000 / n),
         "repeats": step(F.col("n_repeat_words") * 1000 / n),
         "long_words": step(F.col("word_chars") * 25 / n),
-        "short_words": step(F.lit(GRID) - F.col("word_chars") * 25 / n),
-        "brevity": step(F.lit(20_000) / F.greatest(lines, F.lit(20))),
     }
 
 
-RULES = ["symbols", "dup_lines", "repeats", "long_words", "short_words", "brevity"]
+RULES = ["symbols", "dup_lines", "repeats", "long_words"]
 
 
 def upper_bound(k: int, n: int, error: float) -> float:
@@ -127,7 +125,7 @@ def choose(good: np.ndarray, bad: np.ndarray, alpha: float, error: float, price:
     return best
 
 
-def fit(rows: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, price: float = 20.0, id_col: str = "doc_id", label_col: str = "quality") -> list[tuple]:
+def fit(rows: DataFrame, labels: DataFrame, alpha: float = 0.04, delta: float = 0.05, price: float = 20.0, id_col: str = "doc_id", label_col: str = "quality") -> list[tuple]:
     """``(stratum, rule, cutoff)`` from rows ``k0`` (id), ``k1`` (stratum), measures and ``h``, and labels."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k0")).agg(F.max(label_col).alias("good"))
     held = rows.where(~base_failed()).join(marks, "k0").groupBy("k1", "h", *MEASURES).agg(F.max("good").alias("good"))
