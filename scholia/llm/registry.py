@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import queries_a, queries_b, queries_c
+from scholia.llm import queries_a, queries_b, queries_c, queries_d
 
-MODULES = [queries_a, queries_b, queries_c]
+MODULES = [queries_a, queries_b, queries_c, queries_d]
 
 
 def queries() -> dict:
