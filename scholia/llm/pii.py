@@ -170,7 +170,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     every = ordered(F.concat("base", "more"))
     return found.select(
         F.col("id").alias(id_col),
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
+        *[F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(joined(ordered("base")), 256).alias("base_sha256"), joined(every).alias("spans"),
         F.transform(every, lambda s: F.struct(names[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"))).alias("entities"),
     )
@@ -178,7 +178,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text``: each text with its spans replaced by ``[kind]``; of overlapping spans the first counts."""
-    names = F.array(*map(F.lit, KINDS))  # noqa: F841
     got = find(docs, id_col, text_col).select(F.col(id_col).alias("_scholia_id"), "entities").dropDuplicates(["_scholia_id"])
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_scholia_text")).join(got, F.col(id_col).eqNullSafe(F.col("_scholia_id")), "left")
     step = F.aggregate(
