@@ -66,9 +66,10 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ship(spark: SparkSession, batch_rows: int = 512) -> None:
-    """Send this package to the executors, and keep Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+def ship(spark: SparkSession, batch_bytes: int = 4 << 20) -> None:
+    """Send this package to the executors, and bound Arrow batches by their bytes, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     sc = spark.sparkContext
     if getattr(sc, "_scholia_shipped", False):
         return

@@ -82,7 +82,7 @@ class Trie:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """``id_col, host, path, rule, verdict``; rules are ``(verdict, host, path)``. No shuffle."""
     spark = pages.sparkSession
-    ship(spark, 10_000)
+    ship(spark)
     kind = pages.schema[id_col].dataType.simpleString()
     parts = [rules[i : i + max_rules] for i in range(0, len(rules), max_rules)] or [[]]
     out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), *(F.lit(None).cast(t).alias(n) for n, t in (("size", "long"), ("hosts", "long"), ("rule", "string"), ("verdict", "string"))))

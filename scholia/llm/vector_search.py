@@ -163,7 +163,7 @@ def _matrix(column) -> np.ndarray:
 def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", spread: float = 0.15, reach: float = 0.5) -> DataFrame:
     """``query_id, rank, id_col, score``: the k nearest found for each row where ``is_query`` holds."""
     spark = rows.sparkSession
-    ship(spark, 4096)
+    ship(spark)
     scratch = Scratch(spark, "ann")
     kind = rows.schema[id_col].dataType.simpleString()
     good = usable(rows, id_col, vector_col).distinct()
