@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.llm import queries_a, queries_b, queries_c, queries_d, queries_e
+from scholia.llm import queries_a, queries_b, queries_c, queries_d, queries_e, queries_f
 
-MODULES = [queries_a, queries_b, queries_c, queries_d, queries_e]
+MODULES = [queries_a, queries_b, queries_c, queries_d, queries_e, queries_f]
 
 
 def queries() -> dict:
