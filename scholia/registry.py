@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from scholia.plans import relational
+
+MODULES = [relational]
 
 
 def queries() -> dict:
