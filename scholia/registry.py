@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.plans import relational
+from scholia.plans import analytics, relational
 
-MODULES = [relational]
+MODULES = [relational, analytics]
 
 
 def queries() -> dict:
