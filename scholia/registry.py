@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.plans import analytics, relational
+from scholia.plans import analytics, relational, texts
 
-MODULES = [relational, analytics]
+MODULES = [relational, analytics, texts]
 
 
 def queries() -> dict:
