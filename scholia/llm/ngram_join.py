@@ -277,15 +277,20 @@ def shared_tokens(sorted_posts: DataFrame) -> DataFrame:
     return sorted_posts.mapInArrow(run, "token long, node long")
 
 
-def tiles(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Candidate pairs ``a, b`` of rows ``token, node, comp, n, band, bits`` in tiles of token and band."""
+def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Candidate pairs ``a, b`` of rows ``token, node, comp, n, band`` in tiles of token and band.
+
+    Bitmaps (``maps``: node, bits) join only rows of tiles that hold a possible pair, and are moved once.
+    """
     both = rows.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") + 1))
-    counts = both.groupBy("token", "tile").agg(F.count("*").alias("c"), F.count_if("home").alias("homes")).where("c > 1 AND homes > 0").select("token", "tile", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
+    counts = both.groupBy("token", "tile").agg(F.count("*").alias("c"), F.count_if("home").alias("homes"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    counts = counts.where("c > 1 AND homes > 0 AND x != y").select("token", "tile", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = both.join(counts, ["token", "tile"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("token", "tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits", "home")
+    placed = scratch.cut(placed.select("token", "tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "home"), "placed")
+    free_shuffles(rows.sparkSession)
     key = ["token", "tile", "i", "j"]
-    placed = placed.repartition(partitions, *key).sortWithinPartitions(*key, "node")
+    placed = placed.join(maps, "node").repartition(partitions, *key).sortWithinPartitions(*key, "node")
 
     def pairs_of(cols):
         seen_a, seen_b = [], []
@@ -350,6 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return scratch.cut(confirmed(pairs, sets, percent), f"{name}-links")
 
     stars = verified(star_pairs(nodes, percent), "star")
+    free_shuffles(spark)
     first = scratch.cut(components(scratch, stars, "first"), "first-roots")
     free_shuffles(spark)
 
@@ -363,8 +369,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_comp = shared.join(first.select("node", "root"), "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
     with_comp = scratch.cut(with_comp, "with-comp")
     open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    left = with_comp.join(open_tokens, "token").join(nodes.select("node", "n", "band", "bits"), "node")
-    more = verified(tiles(left, percent, partitions), "tile")
+    left = scratch.cut(with_comp.join(open_tokens, "token").join(nodes.select("node", "n", "band"), "node"), "open")
+    scratch.drop("shared", "with-comp")
+    free_shuffles(spark)
+    more = verified(tiles(scratch, left, nodes.select("node", "bits"), percent, partitions), "tile")
+    scratch.drop("open", "placed")
     links = stars.union(more)
     roots = components(scratch, links, "all")
     of = texts.select("id", "node", "n").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
