@@ -29,7 +29,7 @@ from scholia.llm.common import ship
 
 #: Pieces of at most so many bytes are encoded together and remembered. Beyond so many of them,
 #: only those of the current batch are kept. Tests of pairs are kept in bounded tables as well.
-SHORT_BYTES, CACHED_PIECES, CACHED_PAIRS, PAIR_SLOTS = 48, 400_000, 1_000_000, 1 << 21
+SHORT_BYTES, CACHED_PIECES, CACHED_PAIRS, PAIR_SLOTS = 48, 300_000, 200_000, 1 << 20
 
 #: The standard library's engine is faster, but knows no \\p classes: for texts below U+0250 the
 #: letters, numbers and white space are listed. Used only for the pattern that it spells out.
@@ -69,34 +69,49 @@ class Vocabulary:
         self.named = {str(t): data for t, data in self.tokens.items()}
 
     def _build_trie(self) -> None:
-        """As nested dicts for single pieces, and as arrays for many: next node by node and byte, token by node."""
-        self.trie: dict = {}
-        inner, nodes = [self.trie], [self.trie]
+        """Edges (node * 256 + byte to node) as a dict for single pieces, and as an open hash table for many."""
+        self.edges: dict[int, int] = {}
+        self.at: dict[int, int] = {}  # node to token
         for token, rank in self.ranks.items():
-            node = self.trie
+            node = 0
             for byte in token:
-                node = node.setdefault(byte, {})
-            node[-1] = rank
-        for node in nodes:
-            nodes += [x for k, x in node.items() if k >= 0]
-        inner = [x for x in nodes if any(k >= 0 for k in x)] or [self.trie]
-        number = {id(x): i for i, x in enumerate(inner)}
-        for x in nodes:
-            number.setdefault(id(x), len(number))
-        self.inner = len(inner)
-        self.next = np.full((self.inner, 256), -1, np.int32)
-        self.token_at = np.full(len(number), -1, np.int32)
-        for x in nodes:
-            i = number[id(x)]
-            self.token_at[i] = x.get(-1, -1)
-            for k, child in x.items():
-                if k >= 0:
-                    self.next[i, k] = number[id(child)]
+                node = self.edges.setdefault(node * 256 + byte, len(self.edges) + 1)
+            self.at[node] = rank
+        self.token_at = np.full(len(self.edges) + 1, -1, np.int32)
+        self.token_at[list(self.at)] = list(self.at.values())
+        bits = max(4, (3 * len(self.edges)).bit_length())
+        self.edge_shift, self.edge_mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.edge_key, self.edge_to = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, to = np.array(list(self.edges), np.int64), np.array(list(self.edges.values()), np.int32)
+        slot = self._edge_slot(keys)
+        while len(keys):
+            free = self.edge_key[slot] < 0
+            keys_f, slot_f, to_f = keys[free], slot[free], to[free]
+            slot_u, first = np.unique(slot_f, return_index=True)
+            self.edge_key[slot_u], self.edge_to[slot_u] = keys_f[first], to_f[first]
+            left = self.edge_key[slot] != keys
+            keys, slot, to = keys[left], (slot[left] + 1) & self.edge_mask, to[left]
         self.start = max(self.tokens, default=0) + 1
         self.length = np.zeros(self.start + 1, np.int32)
         for t, data in self.tokens.items():
             self.length[t] = len(data)
 
+    def _edge_slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.edge_shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes after one byte each, or -1."""
+        key = node.astype(np.int64) * 256 + byte
+        slot = self._edge_slot(key)
+        found = self.edge_key[slot]
+        miss = np.flatnonzero((found != key) & (found >= 0))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & self.edge_mask
+            found[miss] = self.edge_key[slot[miss]]
+            miss = miss[(found[miss] != key[miss]) & (found[miss] >= 0)]
+        return np.where(found == key, self.edge_to[slot], -1)
+
+
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; only used on the bytes of one or two tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -129,19 +144,19 @@ class Vocabulary:
         From each prefix's end j all tokens that follow there are walked in a trie; whichever
         forms a lasting pair with ``last[j]`` is the last token of the prefix that it ends.
         """
-        n, pairs, fits, trie = len(data), self._pairs, self.fits, self.trie
+        n, pairs, fits, edges, tokens = len(data), self._pairs, self.fits, self.edges, self.at
         del last[start + 1 :]
         last += [-1] * (n - start)
         for j in range(max(0, start + 1 - self.longest), n):
-            left, node = last[j], trie
+            left, node = last[j], 0
             if left < 0 < j:
                 raise ValueError("the ranks do not cover all bytes")
             for i in range(j, n):
-                node = node.get(data[i])
+                node = edges.get(node * 256 + data[i])
                 if node is None:
                     break
                 if i >= start and last[i + 1] < 0:
-                    t = node.get(-1)
+                    t = tokens.get(node)
                     if t is not None:
                         ok = pairs.get((left, t))
                         if fits(left, t) if ok is None else ok:
@@ -168,7 +183,7 @@ class Vocabulary:
     def fits_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """``fits`` of many pairs, by slots that each hold the last pair tested that hashes there."""
         key = left.astype(np.int64) * (self.start + 1) + right
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64) % PAIR_SLOTS
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PAIR_SLOTS
         out = self._slot_ok[slot]
         miss = np.flatnonzero(self._slot_key[slot] != key)
         if len(miss):
@@ -193,7 +208,7 @@ class Vocabulary:
                 raise ValueError("the ranks do not cover all bytes")
             node = np.zeros(len(rows), np.int32)
             for i in range(j, width):
-                node = self.next[node, data[rows, i]]
+                node = self.step(node, data[rows, i])
                 on = node >= 0
                 if i >= j + 1:
                     on &= n[rows] > i
@@ -203,8 +218,6 @@ class Vocabulary:
                 if len(test):
                     ok = test[self.fits_many(last[rows[test], j], token[test])]
                     last[rows[ok], i + 1] = token[ok]
-                on = node < self.inner
-                rows, node = rows[on], node[on]
                 if not len(rows):
                     break
         at, rows, back = n.copy(), np.arange(len(pieces)), []
