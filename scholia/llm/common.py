@@ -50,7 +50,7 @@ class Scratch:
         """Write ``df`` and read it back: short lineage, and a copy that outlives lost executors."""
         path = f"{self.base}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

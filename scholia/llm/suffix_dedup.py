@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from scholia.llm.common import MAX_BROADCAST_IDS, Scratch, free_shuffles, ship
 
 GRAM, RUN, LANES = 20, 8192, 4096
-BLOOM_BYTES, CHUNK, BLOCK, SHARD, HOT_CLASSES = 32 << 20, 1_000_000, 1 << 20, 768 << 10, 10_000
+BLOOM_BYTES, CHUNK, BLOCK, SHARD, HOT_CLASSES = 32 << 20, 1_000_000, 1 << 20, 768 << 10, 20_000
 MAX_BROADCAST_BYTES = 16 << 20
 TABLE = np.random.default_rng(11).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -338,18 +338,22 @@ def removed_spans(docs: DataFrame, scratch: Scratch, length: int, bloom_bytes: i
     own = max(64, bloom_bytes * 8 // buckets)
     held = spark.sparkContext.broadcast(bloom(minimizer_blobs(docs, length, buckets), buckets, bloom_bytes))
     free_shuffles(spark)
-    found = scratch.cut(occurrences(docs, length, held, buckets, own), "runs")
+    # The runs are made three times (a map over the texts) rather than kept with their bytes.
+    raw = occurrences(docs, length, held, buckets, own)
     classes = lambda rows: rows.groupBy("c1", "c2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("value").alias("value"), F.first("run").alias("run"))
-    known = scratch.cut(classes(found), "classes")
+    known = scratch.cut(classes(raw), "classes")
+    free_shuffles(spark)
+    found = scratch.cut(raw.select("c1", "c2", "id", "start"), "runs")
     hot = known.groupBy("value").count().where(F.col("count") > HOT_CLASSES).select("value")
     if not hot.limit(1).isEmpty():
         hot = scratch.cut(hot, "hot")
         piece = F.expr(f"substring(run, k + 1, {length})")
-        single = found.join(hot, "value", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-        single = single.select("id", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("windows"), piece.alias("run")).select(
-            F.xxhash64("run").alias("value"), F.xxhash64("run").alias("c1"), F.conv(F.substring(F.md5("run"), 1, 15), 16, 10).cast("long").alias("c2"), "id", "start", "windows", "run")
-        found = scratch.cut(found.join(hot, "value", "left_anti").unionByName(single), "runs-split")
-        known = scratch.cut(classes(found), "classes-split")
+        single = raw.join(hot, "value", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+        single = single.select("id", (F.col("start") + F.col("k")).alias("start"), piece.alias("run")).select(
+            F.xxhash64("run").alias("value"), F.xxhash64("run").alias("c1"), F.conv(F.substring(F.md5("run"), 1, 15), 16, 10).cast("long").alias("c2"), "id", "start", "run")
+        known = known.join(hot, "value", "left_anti").unionByName(scratch.cut(classes(single), "classes-single"))
+        found = found.unionByName(scratch.cut(single.select("c1", "c2", "id", "start"), "single"))
+        free_shuffles(spark)
     size = known.agg(F.sum(F.length("run"))).collect()[0][0] or 0
     lost = scratch.cut(losses(known, length, max(1, -(-int(size) // SHARD))), "losses")
     free_shuffles(spark)
@@ -358,7 +362,9 @@ def removed_spans(docs: DataFrame, scratch: Scratch, length: int, bloom_bytes: i
     far = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = gone.withColumn("new", F.when(far >= F.col("s"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return scratch.cut(merged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    spans = scratch.cut(merged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    scratch.drop("classes", "classes-single", "runs", "single", "losses")
+    return spans
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bloom_bytes: int = BLOOM_BYTES) -> DataFrame:
