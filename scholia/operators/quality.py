@@ -75,7 +75,7 @@ def assess(papers: DataFrame, current_year: int) -> DataFrame:
     y.add(year < 1950, 2, "info", "suspicious")
     y.add(year > current_year + 2, 5, "warning", "suspicious")
     b = Rules("abstract")
-    empty, placeholder = F.length(F.trim(abstract)) == 0, F.lit(False)
+    empty, placeholder = ~abstract.rlike(r"\S"), F.lit(False)
     for p in ABSTRACT_PLACEHOLDERS:
         placeholder = placeholder | _like(abstract, p)
     m = F.length(abstract)
@@ -88,7 +88,7 @@ def assess(papers: DataFrame, current_year: int) -> DataFrame:
     k.add((c >= 1) & (c < 3), 5, "info", "suboptimal_count")
     k.add(c > 20, 10, "warning", "excessive_count")
     k.add(F.size(F.array_distinct(keywords)) != c, 10, "warning", "duplicates")
-    k.add(F.exists(keywords, lambda x: F.trim(x) == ""), 5, "warning", "empty_keyword")
+    k.add(F.exists(keywords, lambda x: ~x.rlike(r"\S")), 5, "warning", "empty_keyword")
     scores = {"title": t.score(), "authors": a.score(none), "year": y.score(no_year), "abstract": b.score(empty | placeholder), "keywords": k.score()}
     issues = F.concat(
         t.issues(), a.issues(none, F.lit("missing")), y.issues(no_year, F.lit("missing")),

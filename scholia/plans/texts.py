@@ -156,6 +156,30 @@ def ent11_url_slug(s, d):
     return ad.table(s, d, "pages").select("page_id", resolve.slug(F.col("url")).alias("slug"))
 
 
+def prs1_card_fields(s, d):
+    k = F.col("doc_id")
+    body = F.concat(F.lit("---\ntitle: \"T "), k.cast("string"), F.lit("\"\ntype: method\ntags: [a, b]\n---\n# Head\n> **核心**: \"core "), k.cast("string"), F.lit("\"\n\n## 說明\nwhy\n\n## 個人筆記\n**[AI Agent]**: ai\n**[Human]**: me\n"))
+    return parse.card_fields(ad.table(s, d, "documents").select(k.alias("card_id"), body.alias("content"))).withColumn("tags", F.array_join("tags", ","))
+
+
+def prs5_paper_structure(s, d):
+    k = F.col("doc_id")
+    text = F.concat(F.lit("x\nA title of paper "), k.cast("string"), F.lit("\nAbstract: about things.\n\nKeywords: a, b; c\nIntroduction\ntext\nMethods\nmore\nReferences\n[1]"))
+    r = parse.paper_structure(ad.table(s, d, "documents").select("doc_id", text.alias("t")), "doc_id", "t")
+    return r.withColumn("keywords", F.array_join("keywords", "|")).withColumn("sections", F.array_join("sections", "|"))
+
+
+def src7_markdown_table(s, d):
+    k = F.col("n_nationkey").cast("string")
+    return ad.table(s, d, "nation").select("n_nationkey", parse.markdown_table(F.array(F.array(F.lit("id"), F.lit(" na\nme ")), F.array(F.lit(None).cast("string"), F.lit("")), F.array(k, F.col("n_name")))).alias("table"))
+
+
+def agg10_bibliography_statistics(s, d):
+    k = F.col("o_orderkey")
+    rows = ad.table(s, d, "orders").select(F.col("o_orderstatus").alias("entry_type"), F.when(k % 3 == 0, k.cast("string")).alias("doi"), F.when(k % 2 == 0, "").otherwise("x").alias("abstract"), F.when(k % 5 != 0, 2000).alias("year"), F.when(k % 7 == 0, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>")).alias("keywords"))
+    return _r(parse.bibliography_statistics(rows), "doi_percent", "abstract_percent", "year_percent", "keywords_percent")
+
+
 TOK = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 FOUND = """c0 AS (SELECT doc_id FROM documents JOIN labels USING (doc_id)), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM c0)),
  nn AS (SELECT q.id AS query, x.id AS id, list_cosine_similarity(q.v, x.v) AS similarity, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.v, x.v) DESC, x.id) AS k FROM v q JOIN v x ON q.id <> x.id QUALIFY k <= 10),
@@ -211,6 +235,11 @@ ORACLE = {
  SELECT a.cite_key, a.seq, a.new_id, a.disposition, coalesce(b.new_id, '') AS links FROM n a LEFT JOIN n b ON b.seq = a.seq + 20 AND b.disposition = 'keep' AND b.cite_key = a.cite_key""",
     "ent10_cite_key": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'm' WHEN o_orderkey % 5 = 0 THEN 'b' WHEN o_orderkey % 3 = 0 THEN 'd' ELSE 't' END || o_orderkey AS cite_key, CASE WHEN o_orderkey % 7 = 0 THEN 'manual' WHEN o_orderkey % 5 = 0 THEN 'bibtex' WHEN o_orderkey % 3 = 0 THEN 'doi' ELSE 'timestamp' END AS source,
  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN 0.9 ELSE 0.1 END::DOUBLE AS confidence FROM orders""",
+    "prs1_card_fields": "SELECT doc_id AS card_id, doc_id::VARCHAR AS zettel_id, 'T ' || doc_id AS title, 'method' AS card_type, 'core ' || doc_id AS core_concept, 'why' AS description, '' AS domain, 'a,b' AS tags, NULL::VARCHAR AS source_info, 'ai' AS ai_notes, 'me' AS human_notes FROM documents",
+    "prs5_paper_structure": "SELECT doc_id, 'A title of paper ' || doc_id AS title, 'about things.' AS abstract, 'a|b|c' AS keywords, 'Introduction|Methods|References' AS sections, true AS references_found FROM documents",
+    "src7_markdown_table": "SELECT n_nationkey, '| id | na me |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS \"table\" FROM nation",
+    "agg10_bibliography_statistics": """WITH b AS (SELECT o_orderstatus AS entry_type, count(*) AS total, count(*) FILTER (o_orderkey % 3 = 0) AS with_doi, count(*) FILTER (o_orderkey % 2 <> 0) AS with_abstract, count(*) FILTER (o_orderkey % 5 <> 0) AS with_year, count(*) FILTER (o_orderkey % 7 = 0) AS with_keywords FROM orders GROUP BY 1)
+ SELECT *, round(with_doi * 100.0 / total, 6)::DOUBLE AS doi_percent, round(with_abstract * 100.0 / total, 6)::DOUBLE AS abstract_percent, round(with_year * 100.0 / total, 6)::DOUBLE AS year_percent, round(with_keywords * 100.0 / total, 6)::DOUBLE AS keywords_percent FROM b""",
     "ent11_url_slug": r"SELECT page_id, substr(regexp_replace(regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$|/+$', '', 'g'), '([^/]*)$', 1), '[^A-Za-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40) AS slug FROM pages",
 }
 QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in ("src8_web_pages", "gnd2_benchmark_in_documents", "ent3_duplicates", "ent5_match_chain")}
