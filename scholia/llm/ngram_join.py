@@ -4,15 +4,17 @@
    by a hash of the set, so copies cost one row.
 2. Stars: nodes that share a least hash (under several permutations) and a size band are compared
    with the bucket's smallest node. These real links make first components.
-3. Completion: sets at or above the threshold share a shingle among the first
+3. Rounds: each component is compared with another by its pair of largest bound (see 4), and joined with
+   it if they link, which connects large groups of near copies by few comparisons.
+4. Completion: sets at or above the threshold share a shingle among the first
    ``n - ceil(t * n) + 1`` of any common order. The order puts shingles found often last, then goes
    by hash. Shingles whose holders are all in one component are finished; the others' holders meet
    in tiles of a shingle and a size band (two sets that link lie in the same or adjacent bands of
    ratio 1 / t). In a tile only pairs of different components and fitting sizes count, and bit
    counts of hashed bitmaps bound their overlap from above.
-4. Pairs left are decided by intersecting the sorted arrays, and all links joined to components.
+5. Pairs left are decided by intersecting the sorted arrays, and all links joined to components.
 
-No link is lost: steps 2 and 3 only skip pairs that are already connected or provably too far
+No link is lost: later steps only skip pairs that are already connected or provably too far
 apart, and nothing is capped. Tiles above ``TILE`` rows are cut into blocks that meet pairwise.
 
 Scale: texts are never shuffled while the ids to be read again can be broadcast (a checked bound);
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import Scratch, components, free_shuffles, restrict, ship
 
-STARS, TILE, MAX_HOT, CHUNK = 6, 1024, 200_000, 2_000_000
+STARS, ROUNDS, TILE, TOP, MAX_HOT, CHUNK = 6, 2, 1024, 200_000, 200_000, 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,8 +97,8 @@ def band_of(n: np.ndarray, t: float) -> np.ndarray:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's bitmap: about two for a shingle, at least 512."""
-    return 1 << max(9, min(16, int(2 * n - 1).bit_length()))
+    """Bits of a set's bitmap: about four for a shingle, at least 512."""
+    return 1 << max(9, min(17, int(4 * n - 1).bit_length()))
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -121,9 +123,10 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (na + nb) // (100 + percent))
 
 
-def tile_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], home: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile that may link: one of them at home in the band, of different components, sizes and bits fitting."""
-    bits, out_a, out_b = folded(maps), [], []
+def tile_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[bytes], home: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a tile that may link (places in it, and by how much the bound exceeds what is needed): one
+    of them at home in the band, of different components, sizes and bits fitting."""
+    bits, out_i, out_j, out_m = folded(maps), [], [], []
     for i in range(len(node) - 1):
         j = np.arange(i + 1, len(node))
         j = j[(home[i] | home[j]) & (comp[j] != comp[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
@@ -131,11 +134,13 @@ def tile_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[byt
             both = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
             own, other = int(np.bitwise_count(bits[i]).sum()), np.bitwise_count(bits[j]).sum(1).astype(np.int64)
             most = np.minimum(n[i] - (own - both), n[j] - (other - both))
-            j = j[most >= needed(n[i], n[j], percent)]
-            out_a.append(np.minimum(node[i], node[j]))
-            out_b.append(np.maximum(node[i], node[j]))
+            over = most - needed(n[i], n[j], percent)
+            j, over = j[over >= 0], over[over >= 0]
+            out_i.append(np.full(len(j), i))
+            out_j.append(j)
+            out_m.append(over / (n[i] + n[j]))
     z = np.zeros(0, np.int64)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (z, z)
+    return (np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_m)) if out_i else (z, z, z)
 
 
 def profile(docs: DataFrame, words: int, seed: int, percent: int) -> DataFrame:
@@ -210,11 +215,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Each node with the smallest node of every bucket (permutation, least hash, band) that it is in."""
+    """Each node with one node, drawn by hash, of every bucket (permutation, least hash, band) that it is in."""
     flat = nodes.select("node", "n", "band", F.posexplode("least").alias("i", "h"))
-    low = flat.groupBy("i", "h", "band").agg(F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("c")).where("c > 1").select("i", "h", "band", "low")
+    low = flat.groupBy("i", "h", "band").agg(F.min(F.struct(F.xxhash64("i", "node").alias("r"), "node", "n")).alias("low"), F.count("*").alias("c")).where("c > 1").select("i", "h", "band", "low")
     pairs = flat.join(low, ["i", "h", "band"]).where(F.col("low.node") != F.col("node")).where(F.least("n", "low.n") * 100 >= F.greatest("n", "low.n") * percent)
-    return pairs.select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+    return pairs.select(F.least("low.node", "node").alias("a"), F.greatest("low.node", "node").alias("b")).distinct()
 
 
 def postings(docs: DataFrame, words: int, seed: int, percent: int, hot) -> DataFrame:
@@ -277,8 +282,9 @@ def shared_tokens(sorted_posts: DataFrame) -> DataFrame:
     return sorted_posts.mapInArrow(run, "token long, node long")
 
 
-def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Candidate pairs ``a, b`` of rows ``token, node, comp, n, band`` in tiles of token and band.
+def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, partitions: int, best: bool) -> DataFrame:
+    """Candidate pairs ``a, b`` of rows ``token, node, comp, n, band`` in tiles of token and band: all of
+    them, or (``best``) for each component only the one whose bound is largest for its sizes.
 
     Bitmaps (``maps``: node, bits) join only rows of tiles that hold a possible pair, and are moved once.
     """
@@ -292,7 +298,7 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
     key = ["token", "tile", "i", "j"]
     placed = placed.join(maps, "node").repartition(partitions, *key).sortWithinPartitions(*key, "node")
 
-    def pairs_of(cols):
+    def pairs_of(cols, top):
         seen_a, seen_b = [], []
         same = np.ones(len(cols["node"]), bool)
         same[1:] = False
@@ -301,15 +307,29 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
         starts = np.append(np.flatnonzero(same), len(same))
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
             if e - s > 1:
-                a, b = tile_pairs(cols["node"][s:e], cols["comp"][s:e], cols["n"][s:e], cols["bits"][s:e], cols["home"][s:e], percent)
-                seen_a.append(a)
-                seen_b.append(b)
-        z = np.zeros(0, np.int64)
-        got = np.unique(np.stack([np.concatenate(seen_a), np.concatenate(seen_b)], 1), axis=0) if seen_a else np.stack([z, z], 1)
+                node, comp = cols["node"][s:e], cols["comp"][s:e]
+                i, j, over = tile_pairs(node, comp, cols["n"][s:e], cols["bits"][s:e], cols["home"][s:e], percent)
+                if best and len(i):
+                    order = np.argsort(over, kind="stable")
+                    for own in (comp[i[order]], comp[j[order]]):  # of equal components the last, largest, stays
+                        last = dict(zip(own.tolist(), order.tolist()))
+                        for c, at in last.items():
+                            if c not in top or top[c][0] < over[at]:
+                                top[c] = (float(over[at]), int(node[i[at]]), int(node[j[at]]))
+                elif len(i):
+                    seen_a.append(np.minimum(node[i], node[j]))
+                    seen_b.append(np.maximum(node[i], node[j]))
+        if not seen_a:
+            return None
+        got = np.unique(np.stack([np.concatenate(seen_a), np.concatenate(seen_b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, 0])), pa.array(np.ascontiguousarray(got[:, 1]))], ["a", "b"])
 
+    def of_components(top):
+        c = list(top)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array([top[x][0] for x in c], pa.float64()), pa.array([min(top[x][1:]) for x in c], pa.int64()), pa.array([max(top[x][1:]) for x in c], pa.int64())], ["comp", "over", "a", "b"])
+
     def run(batches):
-        rest = None
+        rest, top = None, {}
         for b in batches:
             new = {c: (b.column(c).to_pylist() if c == "bits" else b.column(c).to_numpy(zero_copy_only=False)) for c in (*key, "node", "comp", "n", "bits", "home")}
             cols = new if rest is None else {c: rest[c] + new[c] if c == "bits" else np.concatenate([rest[c], new[c]]) for c in new}
@@ -319,11 +339,20 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
             for k in key:
                 end &= cols[k] == cols[k][-1]
             cut = int(np.flatnonzero(end)[0])  # sorted: the last tile may go on in the next batch
-            yield pairs_of({c: v[:cut] for c, v in cols.items()})
+            if (got := pairs_of({c: v[:cut] for c, v in cols.items()}, top)) is not None:
+                yield got
+            if len(top) > TOP:
+                yield of_components(top)
+                top = {}
             rest = {c: v[cut:] for c, v in cols.items()}
-        if rest is not None:
-            yield pairs_of(rest)
-
+        if rest is not None and (got := pairs_of(rest, top)) is not None:
+            yield got
+        if best:
+            yield of_components(top)
+
+    if best:
+        found = placed.mapInArrow(run, "comp long, over double, a long, b long")
+        return found.groupBy("comp").agg(F.max(F.struct("over", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -366,16 +395,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = postings(restrict(docs.where("id IS NOT NULL"), "id", later, "left_anti"), words, seed, percent, hot)
     shared = scratch.cut(shared_tokens(posts.repartition(partitions, "token").sortWithinPartitions("token", "node")), "shared")
     free_shuffles(spark)
-    with_comp = shared.join(first.select("node", "root"), "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
-    with_comp = scratch.cut(with_comp, "with-comp")
-    open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    left = scratch.cut(with_comp.join(open_tokens, "token").join(nodes.select("node", "n", "band"), "node"), "open")
-    scratch.drop("shared", "with-comp")
-    free_shuffles(spark)
-    more = verified(tiles(scratch, left, nodes.select("node", "bits"), percent, partitions), "tile")
-    scratch.drop("open", "placed")
-    links = stars.union(more)
-    roots = components(scratch, links, "all")
+    links, roots = stars, first
+    for step in range(ROUNDS + 1):  # rounds of each component's best pair, then all pairs left
+        with_comp = scratch.cut(shared.join(roots.select("node", "root"), "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp")), f"comp-{step}")
+        open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
+        left = scratch.cut(with_comp.join(open_tokens, "token").join(nodes.select("node", "n", "band"), "node"), f"open-{step}")
+        shared = left.select("token", "node")  # settled shingles stay settled
+        scratch.drop(f"comp-{step}", "shared", f"open-{step - 1}")
+        free_shuffles(spark)
+        if left.limit(1).isEmpty():
+            break
+        new = verified(tiles(scratch, left, nodes.select("node", "bits"), percent, partitions, step < ROUNDS), f"tile-{step}")
+        scratch.drop("placed")
+        if not new.limit(1).isEmpty():
+            links = links.unionByName(new)
+            roots = components(scratch, links, f"round-{step}")
     of = texts.select("id", "node", "n").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
     named = of.where("n > 0 AND id IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
     return of.join(named, "root", "left").select(
