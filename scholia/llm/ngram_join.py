@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from scholia.llm.common import Scratch, components, free_shuffles, restrict, ship
 
-STARS, ROUNDS, TILE, TOP, MAX_HOT, CHUNK = 6, 2, 1024, 200_000, 200_000, 2_000_000
+STARS, ROUNDS, TILE, TOP, MAX_HOT, CHUNK = 6, 1, 1024, 200_000, 200_000, 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
