@@ -5,13 +5,17 @@ k-means with a price on long lists. Every vector goes to its nearest centroid an
 boundary, to further ones: those within ``(1 + spread)`` times the least distance, unless a
 centroid already taken is nearer to them than the vector is (at most ``REPLICAS``). Centroids are
 found by best-first search in a graph in memory: near neighbours of each and a few far links.
-A query reads the lists whose centroids lie within ``(1 + reach)`` times its least distance, at
-least ``MIN_LISTS`` and at most ``MAX_LISTS``, and further ones until they hold enough rows.
-Distances to what the lists hold are then exact, in double precision.
-
-Scale: all vectors are indexed. Equal vectors are one entry with their smallest ids (no more can
+A query reads all lists whose centroids lie within ``(1 + reach)`` times its least distance, at
+least ``MIN_LISTS``, and further ones until they hold enough rows. ``reach`` is widened to what
+``HELD_OUT`` vectors outside the sample need to find ``RECALL`` of their true neighbours in the
+whole table, so the number of lists read grows with their number where the vectors ask for it; on
+vectors without structure that is nearly a full scan. Distances to what the lists hold are then
+exact, in double precision.
+
+Scale: all vectors are indexed. Up to ``GROUP`` near lists make a group, and a query and an entry
+are sent once to each group, not once to each list. Equal vectors are one entry with their smallest ids (no more can
 come first), found by a window that is pre-limited on the map side, so a vector held by a third
-of all rows is a few rows for each task. Lists and queries meet in tiles of at most about
+of all rows is a few rows for each task. Groups and queries meet in tiles of at most about
 ``TILE`` entries by ``TILE`` queries. What is broadcast are the centroids and their graph.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold a null or
@@ -33,7 +37,8 @@ from scholia.llm.common import Scratch, ship
 
 SAMPLE, LIST_ROWS, MAX_CENTROIDS = 20_000, 100, 4096
 REPLICAS, DEGREE, FAR_LINKS, ENTRIES = 8, 16, 4, 8
-MIN_LISTS, MAX_LISTS, TILE = 16, 96, 2048
+MIN_LISTS, GROUP, TILE = 16, 16, 2048
+HELD_OUT, RECALL = 200, 0.99
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,17 +127,32 @@ class CentroidGraph:
             out.append(np.array(taken, np.int32))
         return out
 
-    def lists_for(self, x: np.ndarray, reach: float, sizes: np.ndarray, enough: int) -> list[np.ndarray]:
-        """The lists that each query reads."""
-        ids, dist = self.search(x, MAX_LISTS)
+    def groups(self) -> np.ndarray:
+        """The group of each list: centroids halved across their widest direction down to ``GROUP``."""
+        out, parts, n = np.zeros(len(self.c), np.int32), [np.arange(len(self.c))], 0
+        while parts:
+            own = parts.pop()
+            if len(own) <= GROUP:
+                out[own], n = n, n + 1
+                continue
+            x = self.c[own] - self.c[own].mean(0)
+            order = own[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+            parts += [order[: len(own) // 2], order[len(own) // 2 :]]
+        return out
+
+    def groups_for(self, x: np.ndarray, reach: float, of: np.ndarray, sizes: np.ndarray, enough: int) -> list[np.ndarray]:
+        """The groups that each query reads: those of its lists, and further ones until they hold enough rows."""
         out = []
-        for q, own, d in zip(x, ids, dist):
-            own, d = own[own >= 0], d[own >= 0]
-            n = max(MIN_LISTS, int((d <= (1 + reach) * d[0]).sum()))
-            if sizes[own[:n]].sum() < enough:
-                own = np.argsort(((self.c - q) ** 2).sum(1), kind="stable")
-                n = max(n, int(np.searchsorted(np.cumsum(sizes[own]), enough)) + 1)
-            out.append(own[:n])
+        for i in range(0, len(x), 256):
+            dist = np.sqrt(squares(x[i : i + 256], self.c))
+            for d, order in zip(dist, np.argsort(dist, 1, kind="stable")):
+                n = max(MIN_LISTS, int((d <= (1 + reach) * d[order[0]]).sum()))
+                own = np.unique(of[order[:n]])
+                if sizes[own].sum() < enough:
+                    met, first = np.unique(of[order], return_index=True)
+                    met = met[np.argsort(first)]
+                    own = met[: max(len(own), int(np.searchsorted(np.cumsum(sizes[met]), enough)) + 1)]
+                out.append(own.astype(np.int32))
         return out
 
 
@@ -160,6 +180,41 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, np.float32) for x in column]) if len(column) else np.zeros((0, 1), np.float32)
 
 
+def reach_needed(vectors: DataFrame, graph: CentroidGraph, k: int, spread: float) -> float:
+    """The reach at which held-out vectors find ``RECALL`` of their k nearest others among all ``vectors``."""
+    held = _matrix([r.v for r in vectors.select("v").orderBy(F.xxhash64("v").desc(), "v").limit(HELD_OUT).collect()])
+    shared = vectors.sparkSession.sparkContext.broadcast(held)
+
+    def nearest(batches):
+        q = shared.value.astype(np.float64)
+        rows, best, found = np.arange(len(q))[:, None], np.zeros((len(q), 0)), np.zeros((len(q), 0, q.shape[1]), np.float32)
+        for b in batches:
+            v = _matrix(b.column("v").to_pylist())
+            if not len(v):
+                continue
+            d = squares(q, v.astype(np.float64))
+            at = np.argsort(d, 1, kind="stable")[:, : k + 1]
+            best, found = np.hstack([best, d[rows, at]]), np.concatenate([found, v[at]], 1)
+            at = np.argsort(best, 1, kind="stable")[:, : k + 1]  # one more, as a vector finds itself
+            best, found = best[rows, at], found[rows, at]
+        n = best.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), n)), pa.array(best.ravel()), pa.array(list(found.reshape(-1, q.shape[1])), pa.list_(pa.float32()))], ["q", "d", "v"])
+
+    first = Window.partitionBy("q").orderBy("d", "v")
+    near = vectors.select("v").mapInArrow(nearest, "q int, d double, v array<float>").withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).collect()
+    at, v = np.array([r.q for r in near], np.int32), _matrix([r.v for r in near])
+    other = (v != held[at]).any(1) if len(near) else np.zeros(0, bool)
+    if not other.any():
+        return 0.0
+    dist = np.sqrt(squares(held.astype(np.float64), graph.c))
+    rank = np.argsort(np.argsort(dist, 1, kind="stable"), 1)
+    least, need = dist.min(1), []
+    for q, lists in zip(at[other], graph.lists_of(v[other].astype(np.float64), spread)):
+        best = lists[rank[q, lists].argmin()]
+        need.append(0.0 if rank[q, best] < MIN_LISTS else dist[q, best] / max(least[q], 1e-30) - 1)
+    return float(np.quantile(need, RECALL, method="higher")) + 1e-9
+
+
 def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", spread: float = 0.15, reach: float = 0.5) -> DataFrame:
     """``query_id, rank, id_col, score``: the k nearest found for each row where ``is_query`` holds."""
     spark = rows.sparkSession
@@ -176,31 +231,34 @@ def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vecto
     x = _matrix([r.v for r in sample]).astype(np.float64)
     graph = CentroidGraph(balanced_centroids(x, min(MAX_CENTROIDS, -(-n // LIST_ROWS), max(1, len(x) // 4)))) if len(x) else None
     index = spark.sparkContext.broadcast(graph)
+    reach = max(reach, reach_needed(vectors, graph, k, spread)) if graph else reach
+    of = graph.groups() if graph else np.zeros(0, np.int32)
+    groups = spark.sparkContext.broadcast(of)
 
     def place(batches):
         for b in batches:
             v = _matrix(b.column("v").to_pylist())
-            lists = index.value.lists_of(v.astype(np.float64), spread) if len(v) else []
+            lists = [np.unique(groups.value[x]) for x in index.value.lists_of(v.astype(np.float64), spread)] if len(v) else []
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if len(v) else np.zeros(0, np.int32)), b.column("v").take(pa.array(at)), b.column("ids").take(pa.array(at))], ["list", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if len(v) else np.zeros(0, np.int32)), b.column("v").take(pa.array(at)), b.column("ids").take(pa.array(at))], ["part", "v", "ids"])
 
-    postings = scratch.cut(vectors.mapInArrow(place, f"list int, v array<float>, ids array<{kind}>"), "postings")
-    counts = {r.list: r.n for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a centroid
-    sizes = spark.sparkContext.broadcast(np.array([counts.get(i, 0) for i in range(len(graph.c) if graph else 0)], np.int64))
+    postings = scratch.cut(vectors.mapInArrow(place, f"part int, v array<float>, ids array<{kind}>"), "postings")
+    counts = {r.part: r.n for r in postings.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a group
+    sizes = spark.sparkContext.broadcast(np.array([counts.get(i, 0) for i in range(of.max() + 1 if graph else 0)], np.int64))
 
     def choose(batches):
         for b in batches:
             v = _matrix(b.column("v").to_pylist())
-            lists = index.value.lists_for(v.astype(np.float64), reach, sizes.value, 4 * (k + 1)) if len(v) else []
+            lists = index.value.groups_for(v.astype(np.float64), reach, groups.value, sizes.value, REPLICAS * (k + 1)) if len(v) else []
             at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32) if len(v) else np.zeros(0, np.int32)), b.column("id").take(at), b.column("v").take(at)], ["list", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32) if len(v) else np.zeros(0, np.int32)), b.column("id").take(at), b.column("v").take(at)], ["part", "id", "v"])
 
-    asked = good.where(is_query).mapInArrow(choose, f"list int, id {kind}, v array<float>")
+    asked = good.where(is_query).mapInArrow(choose, f"part int, id {kind}, v array<float>")
     asked = scratch.cut(asked, "asked")
-    parts = asked.groupBy("list").agg(F.count("*").alias("q")).join(postings.groupBy("list").agg(F.count("*").alias("p")), "list")
-    parts = F.broadcast(parts.select("list", F.ceil(F.col("q") / TILE).cast("int").alias("qs"), F.ceil(F.col("p") / TILE).cast("int").alias("ps")))  # a row a centroid
-    left = asked.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("qt"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("pt"), "id", "v")
-    right = postings.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qt"), F.pmod(F.xxhash64("v"), "ps").cast("int").alias("pt"), "v", "ids")
+    parts = asked.groupBy("part").agg(F.count("*").alias("q")).join(postings.groupBy("part").agg(F.count("*").alias("p")), "part")
+    parts = F.broadcast(parts.select("part", F.ceil(F.col("q") / TILE).cast("int").alias("qs"), F.ceil(F.col("p") / TILE).cast("int").alias("ps")))  # a row a group
+    left = asked.join(parts, "part").select("part", F.pmod(F.xxhash64("id"), "qs").cast("int").alias("qt"), F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("pt"), "id", "v")
+    right = postings.join(parts, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qt"), F.pmod(F.xxhash64("v"), "ps").cast("int").alias("pt"), "v", "ids")
 
     def tile(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -216,7 +274,7 @@ def search(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vecto
         got = pd.DataFrame(out, columns=["query_id", "id", "score"])
         return got.sort_values(["query_id", "score", "id"], kind="stable").groupby("query_id", sort=False).head(k)
 
-    key = ["list", "qt", "pt"]
+    key = ["part", "qt", "pt"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(tile, f"query_id {kind}, id {kind}, score double")
     first = Window.partitionBy("query_id").orderBy("score", "id")
     return (

@@ -378,6 +378,21 @@ def test_vector_search_few_rows(spark):
     assert vector_search.search(df.limit(0), F.col("id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("reach", [0.5, 0.0])
+def test_vector_search_reads_more_lists_as_they_grow(spark, monkeypatch, reach):
+    """Vectors without structure on 400 lists."""
+    monkeypatch.setattr(vector_search, "LIST_ROWS", 10)
+    x = np.random.default_rng(6).normal(size=(4000, 32))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in vector_search.search(df, F.col("id") % 40 == 0, reach=reach).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d = ((x[::40, None].astype(np.float64) - x[None]) ** 2).sum(2)
+    d[np.arange(100), np.arange(0, 4000, 40)] = np.inf
+    assert sum(len(got[40 * i] & set(own[:10].tolist())) for i, own in enumerate(np.argsort(d, 1))) >= 0.98 * 1000
+
+
 # --- 10 ---
 
 
