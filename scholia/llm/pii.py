@@ -5,14 +5,15 @@ base checks, telephone numbers without a country code, and addresses that spell
 features are its format (digits, letters, groups, separators, checksum) and what stands around it.
 Trees are fitted on weak labels: base spans, and spans after a word that announces such data.
 Spans that are not base ones are added if their score reaches their generator's threshold, the
-lowest at which the held-out half is right often enough (an exact lower bound), and if they
-overlap no base span. A generator without enough proof adds nothing.
+lowest of all scores at which the held-out half of all candidates is right often enough (an exact
+lower bound), and if they overlap no base span. A generator without enough proof adds nothing.
 
 Only built-in functions run on the executors. Positions come from the gaps that a pattern leaves:
 ``split`` and ``regexp_extract_all`` see the same matches, and a match starts after the gaps and
 matches before it. Patterns are written so that Java neither recurses nor backtracks over long
 runs; each finds what the plain pattern finds. No shuffle but for the bounded sample of candidates
-(``SAMPLE``, the smallest by hash) on which the trees and thresholds are fitted.
+(``SAMPLE``, the smallest by hash of the other half) on which the trees are fitted, and counts by
+generator and score, of which the trees allow a fixed number.
 
 Edge cases: a null or empty text has no spans; texts of any length are read whole (time grows with
 the square of the number of spans of one text only); repeated rows are searched each; other
@@ -113,41 +114,44 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("id", spans.alias("spans")).withColumn("h", F.xxhash64("id", F.size("spans")))
 
 
-def lower_bound(right: int, n: int, error: float = ERROR) -> float:
-    """The exact lower bound of a share of which ``right`` of ``n`` came out."""
-    if right == 0:
-        return 0.0
-    low, high = 0.0, 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(right, n + 1)]
-    for _ in range(50):
-        p = (low + high) / 2
-        terms = [c + i * math.log(p) + (n - i) * math.log1p(-p) for i, c in zip(range(right, n + 1), logs)]
-        top = max(terms)
-        if top + math.log(sum(math.exp(t - top) for t in terms)) < math.log(error):
-            low = p
-        else:
-            high = p
-    return low
-
-
-def fit(found: DataFrame) -> tuple[tuple, dict[int, float]]:
-    """The trees, and the threshold of each generator that has one."""
+def proven(right: int, n: int, least: float = PRECISION, error: float = ERROR) -> bool:
+    """Whether the exact lower bound of a share of which ``right`` of ``n`` came out is at least ``least``."""
+    if right <= least * n:
+        return False
+    log = math.lgamma(n + 1) - math.lgamma(right + 1) - math.lgamma(n - right + 1) + right * math.log(least) + (n - right) * math.log1p(-least)
+    term = total = 1.0
+    for i in range(right, n):  # falling terms of the upper tail
+        term *= (n - i) / (i + 1) * least / (1 - least)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return log + math.log(total) <= math.log(error)
+
+
+def level(model: tuple) -> Column:
+    """The score of a span ``s`` in millionths, rounded down."""
+    return F.floor(F.expr(boosting.sql(model, [f"s.{f}" for f in FEATURES])) * 1_000_000).cast("long")
+
+
+def fit(found: DataFrame) -> tuple[tuple, dict[int, int]]:
+    """The trees, and the threshold (as a ``level``) of each generator that has one."""
     flat = found.where(F.size("spans") > 0).select("h", F.posexplode("spans").alias("i", "s"))
-    rows = flat.select(F.xxhash64("h", "i").alias("r"), "s.base", "s.cue", *[f"s.{f}" for f in FEATURES]).orderBy("r", *FEATURES).limit(SAMPLE).collect()
-    if not rows:
-        return (0.0, []), {}
-    x = np.array([[float(r[f] or 0) for f in FEATURES] for r in rows])
-    y = np.array([float(r.base or r.cue) for r in rows])
-    base, half = np.array([r.base for r in rows]), np.array([r.r % 2 == 0 for r in rows])
-    model = boosting.boost(x[half], y[half])
-    score, cuts = boosting.predict(model, x), {}
-    for g in range(len(GENERATORS)):
-        own = ~half & (x[:, 0] == g) & ~base
-        s, t = score[own], y[own]
-        for cut in np.unique(s)[:64]:
-            if lower_bound(int(t[s >= cut].sum()), int((s >= cut).sum())) >= PRECISION:
-                cuts[g] = float(round(float(cut), 6)) - 1e-6
-                break
+    flat = flat.select(F.xxhash64("h", "i").alias("r"), "s")
+    half = F.col("r").bitwiseAND(F.lit(1)) == 0
+    rows = flat.where(half).select("r", "s.base", "s.cue", *[f"s.{f}" for f in FEATURES]).orderBy("r", *FEATURES).limit(SAMPLE).collect()
+    x = np.array([[float(r[f] or 0) for f in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
+    model = boosting.boost(x, np.array([float(r.base or r.cue) for r in rows]))
+    held = flat.where(~half & ~F.col("s.base")).select(F.col("s.generator").alias("g"), level(model).alias("level"), F.col("s.cue").cast("long").alias("right"))
+    counts: dict[int, list] = {}
+    for r in held.groupBy("g", "level").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect():
+        counts.setdefault(r.g, []).append((r.level, r.right, r.n))
+    cuts = {}
+    for g, own in counts.items():
+        right = n = 0
+        for cut, more_right, more in sorted(own, reverse=True):
+            right, n = right + more_right, n + more
+            if proven(right, n):
+                cuts[g] = cut
     return model, cuts
 
 
@@ -159,8 +163,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = F.filter("spans", lambda s: s["base"])
     if cuts:
         score = boosting.sql(model, [f"s.{f}" for f in FEATURES])
-        reach = " ".join(f"WHEN {g} THEN {cut!r}D" for g, cut in cuts.items())
-        more = F.expr(f"filter(spans, s -> NOT s.base AND coalesce({score} >= CASE s.generator {reach} END, false) AND NOT exists(base, b -> b.start < s.end AND s.start < b.end))")
+        reach = " ".join(f"WHEN {g} THEN {cut}L" for g, cut in sorted(cuts.items()))
+        more = F.expr(f"filter(spans, s -> NOT s.base AND coalesce(floor(({score}) * 1000000) >= CASE s.generator {reach} END, false) AND NOT exists(base, b -> b.start < s.end AND s.start < b.end))")
     else:
         more = F.expr("filter(spans, s -> false)")
     found = found.withColumn("base", base).withColumn("more", more)

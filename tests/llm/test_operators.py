@@ -15,7 +15,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from scholia.llm import bpe, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, url_filter, vector_search
+from scholia.llm import boosting, bpe, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, url_filter, vector_search
 from scholia.llm.common import Scratch, components, restrict
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -138,6 +138,27 @@ def test_pii_adds_spans_with_enough_proof(spark):
     assert by_id(pii.redact(df))[1003].text == "mail [email] x"
 
 
+def test_pii_proof_of_rare_generators_comes_from_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 200)
+    rows = [(i, f"write a{i}@b.example x") for i in range(3000)] + [(3000 + i, f"filler {i} tel: 555-{100 + i}-{1000 + i} end") for i in range(120)]
+    got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all("phone" in got[3000 + i].spans for i in range(120))
+
+
+def test_pii_tries_every_score(spark, monkeypatch):
+    """The first good cutoff comes after 64 others."""
+    stumps = [boosting.Node(0.0, pii.FEATURES.index("n"), 10.5 + i, boosting.Node(0.0), boosting.Node(1.0)) for i in range(120)]
+    monkeypatch.setattr(boosting, "boost", lambda x, y: (0.0, stumps))
+    rows = [(200 * i + j, f"{'mail: ' if i >= 100 else 'text '}{'a' * i} [at] b.org x") for i in range(1, 110) for j in range(40 if i >= 100 else 5)]
+    got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(("email" in got[i].spans) for i, _ in rows if i >= 20_000) and not any(got[i].spans for i, _ in rows if i < 80 * 200)
+
+
+def test_pii_proof_is_the_exact_bound():
+    assert pii.proven(29, 29) and not pii.proven(28, 28) and not pii.proven(44, 45) and pii.proven(45, 46)
+    assert not pii.proven(0, 0) and pii.proven(9_010_000, 10_000_000) and not pii.proven(9_000_500, 10_000_000)
+
+
 # --- 4 ---
 
 
