@@ -6,16 +6,22 @@ equi-joins that provably hold all pairs that can pass, or from the pruning bound
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Titles a side that are compared in one task.
+TILE = 2048
+
 #: Letters with an own transcription.
 UMLAUTS = {"ü": "ue", "Ü": "Ue", "ö": "oe", "Ö": "Oe", "ä": "ae", "Ä": "Ae", "ß": "ss"}
 
@@ -73,14 +79,78 @@ def duplicates(papers: DataFrame, threshold: float = 0.85) -> DataFrame:
     return scored.select("id_a", "id_b", (0.6 * F.col("ratio") + 0.3 * F.col("j") + 0.1 * near).alias("score")).where(F.col("score") >= threshold)
 
 
+def _pairs(text: str) -> Counter:
+    return Counter(zip(text, text[1:]))
+
+
+def _best_in_tile(left: list[tuple], right: list[tuple], threshold: float) -> list[tuple]:
+    """``(l, r, ratio)`` for each left ``(l, title)`` whose best right reaches the threshold, by upper bounds.
+
+    A ratio is 2 m / s of m matched among s characters. Titles share at least m characters as bags (here by code
+    modulo 128, which only adds), and m - k pairs of neighbours in k blocks; blocks are parted by one of the s - 2 m
+    unmatched characters, so 3 m <= shared pairs + s + 1.
+    """
+    def bags(rows):
+        out = np.zeros((len(rows), 128), np.int32)
+        for i, (_, t) in enumerate(rows):
+            np.add.at(out[i], [ord(c) % 128 for c in t], 1)
+        return out
+
+    a, b = bags(left), bags(right)
+    n, pairs, out = b.sum(1), [_pairs(t) for _, t in right], []
+    for (l, t), bag in zip(left, a):
+        bound = 2 * np.minimum(bag, b).sum(1) / (len(t) + n)
+        own, best = _pairs(t), (threshold, None)
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] < best[0]:
+                break
+            r, other = right[j]
+            total = len(t) + len(other)
+            if 2 * (sum((own & pairs[j]).values()) + total + 1) < 3 * total * best[0] - 1e-9:
+                continue
+            x = SequenceMatcher(None, t, other).ratio()
+            if x > best[0] or x == best[0] and (best[1] is None or r < best[1]):
+                best = (x, r)
+        if best[1] is not None:
+            out.append((l, best[1], best[0]))
+    return out
+
+
 def best_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """JON10/TOP9/ENT5-ENT7: for each left ``l, title`` the right ``r, title`` of the largest ratio of at least the
-    threshold, ties to the smaller r. Candidates share a word of three letters or more, or a length class."""
-    word = lambda d, i: d.select(i, "title", F.explode(F.array_distinct(F.filter(F.split(F.lower("title"), r"\W+"), lambda x: F.length(x) >= 3))).alias("w"))
-    cand = word(left, "l").withColumnRenamed("title", "tl").join(word(right, "r").withColumnRenamed("title", "tr"), "w").groupBy("l", "r", "tl", "tr").agg(F.count("*").alias("k"))
-    fit = 2 * F.least(F.length("tl"), F.length("tr")) >= threshold * (F.length("tl") + F.length("tr")) - 1e-9
+    """JON10/TOP9: for each left ``l, title`` the right ``r, title`` of the largest ratio of at least the threshold,
+    ties to the smaller r. Empty titles match nothing.
+
+    Lossless: a ratio of t needs lengths within a factor of (2 - t) / t, so titles meet those of the same and the
+    two neighbouring classes of length, in tiles; there the bounds of ``_best_in_tile`` spare most comparisons.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0 and is at most 1")
+    width = max(math.log((2 - threshold) / threshold), 0.05) + 1e-6
+    kinds = {i: d.schema[i].dataType.simpleString() for i, d in (("l", left), ("r", right))}
+
+    def plain(rows: DataFrame, i: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                t = [(x or "").strip().lower() for x in batch.column("title").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(i), pa.array(t, pa.string()), pa.array([int(math.log(len(x)) / width) if x else None for x in t], pa.int32())], [i, "t", "band"])
+
+        return rows.select(i, "title").mapInArrow(run, f"{i} {kinds[i]}, t string, band int").where("band IS NOT NULL")
+
+    a = plain(left, "l").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = plain(right, "r")
+    tiles = a.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("na")).join(b.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")), "band")
+    tiles = F.broadcast(tiles)  # a row a class of length
+    a = a.join(tiles, "band").select("band", F.pmod(F.xxhash64("l"), "na").cast("int").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), "l", "t")
+    b = b.join(tiles, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"), F.pmod(F.xxhash64("r"), "nb").cast("int").alias("tb"), "r", "t")
+
+    def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        got = _best_in_tile(list(zip(x["l"].tolist(), x["t"])), list(zip(y["r"].tolist(), y["t"])), threshold) if len(x) and len(y) else []
+        return pd.DataFrame(got, columns=["l", "r", "ratio"])
+
+    key = ["band", "ta", "tb"]
+    found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(tile, f"l {kinds['l']}, r {kinds['r']}, ratio double")
     w = Window.partitionBy("l").orderBy(F.desc("ratio"), "r")
-    return ratios(cand.where(fit).select("l", "r", "tl", "tr"), "tl", "tr", threshold).where(F.col("ratio") >= threshold).withColumn("_n", F.row_number().over(w)).where("_n = 1").select("l", "r", "ratio")
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("l", "r", "ratio")
 
 
 def match_chain(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -113,6 +113,23 @@ def test_duplicates_blocking_loses_no_pair(spark):
     assert {(r.id_a, r.id_b) for r in resolve.duplicates(df).collect()} == want and want
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 1.0])
+def test_best_titles_lose_no_pair(spark, monkeypatch, threshold):
+    monkeypatch.setattr(resolve, "TILE", 20, raising=False)
+    rng = random.Random(5)
+    title = lambda: "".join(rng.choice("abc 漢字學") for _ in range(rng.randrange(25)))
+    near = lambda t: "".join(c if rng.random() < 0.85 else rng.choice("ab字") for c in t)
+    right = [(1, "Photosynthesis"), (2, "深度學習的方法"), (3, None)] + [(i, title()) for i in range(4, 90)]
+    left = [(1, "photosynthesys"), (2, "深度學習之方法"), (3, "")] + [(i, near(right[i % 90 - 1][1] or "x")) for i in range(4, 90)]
+    want = {}
+    for l, a in left:
+        of = [(-SequenceMatcher(None, a.strip().lower(), b.strip().lower()).ratio(), r) for r, b in right if (b or "").strip() and a.strip()]
+        if of and -min(of)[0] >= threshold:
+            want[l] = (min(of)[1], -min(of)[0])
+    got = resolve.best_titles(spark.createDataFrame(left, "l long, title string"), spark.createDataFrame(right, "r long, title string"), threshold)
+    assert {r.l: (r.r, r.ratio) for r in got.collect()} == want and (threshold == 1.0 or {1, 2} <= set(want))
+
+
 def test_cite_keys():
     assert resolve.normal_cite_key("Günther-2025a") == "Guenther-2025a" and resolve.normal_cite_key("Créquit 2018!") == "Crequit2018" and resolve.normal_cite_key(None) == ""
 
