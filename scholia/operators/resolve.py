@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.operators.cooccurrence import best_by_overlap, last_name
+
 #: Titles a side that are compared in one task.
 TILE = 2048
 
@@ -154,12 +156,17 @@ def best_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
 
 
 def match_chain(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """ENT5: each left paper's match: exact title, else best ratio, else new; with the type and score."""
+    """ENT5: each left paper's match: exact title, else best ratio, else the same year with the best overlap of last
+    names above 0, else new; with the type and score. Input: ``l`` or ``r, title, authors (array), year``."""
     norm = lambda c: F.lower(F.trim(c))
+    names = lambda d, i: d.select(i, "year", F.explode("authors").alias("a")).where("year IS NOT NULL AND trim(a) <> ''").select(i, "year", last_name(F.col("a")).alias("name"))
     exact = left.join(right.groupBy(norm(F.col("title")).alias("_t")).agg(F.max("r").alias("r1")), norm(F.col("title")) == F.col("_t"), "left").select("l", "title", "r1")
     fuzzy = best_titles(exact.where("r1 IS NULL").select("l", "title"), right, threshold)
     out = exact.join(fuzzy.withColumnRenamed("r", "r2"), "l", "left")
-    return out.select("l", F.coalesce("r1", "r2").alias("r"), F.when(F.col("r1").isNotNull(), "exact").when(F.col("r2").isNotNull(), "fuzzy").otherwise("new").alias("match_type"), F.when(F.col("r1").isNotNull(), 1.0).otherwise(F.coalesce("ratio", F.lit(0.0))).alias("score"))
+    rest = left.join(out.where("r1 IS NULL AND r2 IS NULL").select("l"), "l", "left_semi")
+    out = out.join(best_by_overlap(names(rest, "l"), names(right, "r")).withColumnRenamed("r", "r3"), "l", "left")
+    kind = F.when(F.col("r1").isNotNull(), "exact").when(F.col("r2").isNotNull(), "fuzzy").when(F.col("r3").isNotNull(), "author_year").otherwise("new")
+    return out.select("l", F.coalesce("r1", "r2", "r3").alias("r"), kind.alias("match_type"), F.when(F.col("r1").isNotNull(), 1.0).otherwise(F.coalesce("ratio", "overlap", F.lit(0.0))).alias("score"))
 
 
 #: Where a citation key may come from, and how far it is trusted.

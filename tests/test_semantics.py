@@ -130,6 +130,15 @@ def test_best_titles_lose_no_pair(spark, monkeypatch, threshold):
     assert {r.l: (r.r, r.ratio) for r in got.collect()} == want and (threshold == 1.0 or {1, 2} <= set(want))
 
 
+def test_match_chain_tiers(spark):
+    kind = "{} long, title string, authors array<string>, year int"
+    right = [(1, "Deep notes", ["Roe, Max"], 2001), (2, "Photosynthesis", ["Doe, Jane"], 2002), (3, "Cards", ["Jane Doe", "B. Li"], 2003), (4, "Other cards", ["Doe, J."], 2003)]
+    left = [(1, "deep NOTES ", [], None), (2, "photosynthesys", ["X"], 1990), (3, "Quite another title", ["J. Doe"], 2003), (4, "Yet another one", ["J. Doe"], 2005), (5, "No such thing", [], 2003), (6, "Nor that here", None, None)]
+    got = resolve.match_chain(spark.createDataFrame(left, kind.format("l")), spark.createDataFrame(right, kind.format("r")))
+    got = {r.l: (r.r, r.match_type, round(r.score, 3)) for r in got.collect()}
+    assert got == {1: (1, "exact", 1.0), 2: (2, "fuzzy", 0.929), 3: (4, "author_year", 1.0), 4: (None, "new", 0.0), 5: (None, "new", 0.0), 6: (None, "new", 0.0)}
+
+
 def test_cite_keys():
     assert resolve.normal_cite_key("Günther-2025a") == "Guenther-2025a" and resolve.normal_cite_key("Créquit 2018!") == "Crequit2018" and resolve.normal_cite_key(None) == ""
 
