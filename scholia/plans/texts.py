@@ -124,7 +124,7 @@ def pip8_people(s, d):
 def gnd2_benchmark_in_documents(s, d):
     docs = ad.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     bench = ad.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    pairs = grounding.exact_candidates(bench, docs).join(bench.select(F.col("id").alias("claim"), F.col("text").alias("core")), "claim").join(docs.select(F.col("id").alias("source"), F.col("text").alias("source_text")), "source")
+    pairs = grounding.candidates(bench, docs).join(bench.select(F.col("id").alias("claim"), F.col("text").alias("core")), "claim").join(docs.select(F.col("id").alias("source"), F.col("text").alias("source_text")), "source", "left")
     return _r(grounding.ground_pairs(pairs, "core", "source_text", ("claim", "source")), "coverage").drop("span")
 
 

@@ -38,6 +38,18 @@ def test_ground(core, source, verdict, disposition):
         assert source[got[3] : got[4]] == got[2]
 
 
+def test_documents_of_drifted_short_and_lost_claims(spark, tmp_path):
+    from scholia.plans import texts
+
+    told = "Readers of long notes often keep one changed word near the start of each card they have written down"
+    docs = [(1, f"Before. {told}. After."), (2, "It says deep well-known cards matter here."), (3, "nothing like it at all")]
+    claims = [(1, told.replace("long", "lengthy")), (2, "deep well-known cards matter"), (3, "no source has ever held this claim of ours"), (4, "nothing"), (5, told)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(claims, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.claim, r.source): r.verdict for r in texts.gnd2_benchmark_in_documents(spark, str(tmp_path)).collect()}
+    assert got[1, 1] == "DRIFTED_MINOR" and got[2, 2] == got[4, 3] == got[5, 1] == "EXACT" and got[3, None] == "NOT_FOUND"
+
+
 def test_normalise_and_spacing():
     assert grounding.normalise("  a \n b-\n c’ ﬁ ")[0] == "a bc' fi"
     assert grounding.same_up_to_spacing("re-use it", "reuse  it") and not grounding.same_up_to_spacing("a", "b")
