@@ -110,6 +110,12 @@ def vec5_l2sq_metric(s, d):
     return found.select("query", "id", F.round(vectors.similarity(F.col("similarity"), "l2sq"), 6).alias("similarity"))
 
 
+def vec5_l2sq_metric_all(s, d):
+    v = _vectors(s, d)
+    found = vectors.nearest(v, v, 5)
+    return found.select("query", "id", F.round(vectors.similarity(F.col("similarity"), "l2sq"), 6).alias("similarity"))
+
+
 def agg20_retrieval_metrics(s, d):
     v = _vectors(s, d)
     q = v.where("id % 20 = 0")
@@ -141,6 +147,10 @@ def grf2_components(s, d):
     return graph.connected_components(edges(s, d).where("(a + b) % 3 = 0"))
 
 
+def grf2_components_all(s, d):
+    return graph.connected_components(edges(s, d))
+
+
 def grf11_page_rank(s, d):
     return graph.page_rank(edges(s, d), rounds=12, tolerance=None).select("node", F.round("rank", 8).alias("rank"))
 
@@ -156,6 +166,12 @@ def grf10_closeness(s, d):
     return graph.closeness(graph.distances(e, src)).select("node", F.round("closeness", 8).alias("closeness"))
 
 
+def grf10_closeness_all(s, d):
+    e = edges(s, d)
+    nodes = graph.symmetric(e).select(F.col("a").alias("node")).distinct()
+    return graph.closeness(graph.distances(e, nodes)).select("node", F.round("closeness", 8).alias("closeness"))
+
+
 def grf6_simple_paths(s, d):
     e = edges(s, d)
     target = e.where("a = 1").agg(F.max("b").alias("b")).collect()[0].b
@@ -168,6 +184,12 @@ def grf4_communities(s, d):
     return x.select("community", "size", "hub", F.array_join("first_members", ",").alias("first_members"), F.round("density", 6).alias("density"))
 
 
+def grf4_communities_all(s, d):
+    e = edges(s, d)
+    x = graph.describe_communities(e, graph.connected_components(e).withColumnRenamed("component", "community"))
+    return x.select("community", "size", "hub", F.array_join("first_members", ",").alias("first_members"), F.round("density", 6).alias("density"))
+
+
 def grf3_louvain(s, d):
     return graph.louvain(edges(s, d))
 
@@ -266,4 +288,6 @@ ORACLE = {
  SELECT c.component AS community, count(*) AS size, arg_max(c.node, d.degree * 1000000 - c.node) AS hub, array_to_string(list_sort(list(c.node))[1:5], ',') AS first_members, round(2 * any_value(internal) / (count(*) * (count(*) - 1)), 6) AS density FROM c JOIN d ON d.node = c.node JOIN i ON i.component = c.component GROUP BY 1 HAVING count(*) > 1""",
     "grf7_influential_paths": f"WITH RECURSIVE {EDGES}, h AS (SELECT node FROM d ORDER BY degree DESC, node LIMIT 10){_bfs('node IN (SELECT node FROM h)')} SELECT source, node, distance FROM m WHERE node IN (SELECT node FROM h) AND source < node AND distance >= 2 ORDER BY distance, source, node LIMIT 20",
 }
-QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in ("agg12_top_issues", "grf3_louvain", "grf9_betweenness", "pip6_all_centralities")}
+#: On whole tables, where the SQL of the query without _all holds a part; without SQL themselves.
+WHOLE = ("vec5_l2sq_metric_all", "grf2_components_all", "grf4_communities_all", "grf10_closeness_all")
+QUERIES = {k: v for k, v in globals().items() if k in ORACLE or k in WHOLE or k in ("agg12_top_issues", "grf3_louvain", "grf9_betweenness", "pip6_all_centralities")}

@@ -209,6 +209,43 @@ def test_louvain_and_paths(spark):
 # --- search, relations, streaming ---
 
 
+def test_whole_tables(spark, monkeypatch):
+    """The registered queries lose nothing outside the id ranges and residues of the SQL."""
+    from scholia.plans import analytics, relational, texts
+
+    pairs = [(1, 2), (2, 3), (3, 5), (5, 8), (11, 12), (12, 14)]  # sums of all residues
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    want, least, sizes = {}, {}, {}
+    for x in near:
+        dist, order = {x: 0}, [x]
+        for y in order:
+            for z in near[y] - set(dist):
+                dist[z] = dist[y] + 1
+                order.append(z)
+        want[x], least[x] = round((len(dist) - 1) / sum(dist.values()), 8), min(dist)
+        sizes[min(dist)] = len(dist)
+    monkeypatch.setattr(analytics, "edges", lambda s, d: s.createDataFrame(pairs, "a long, b long"))
+    q = analytics.QUERIES
+    assert {r.node: r.component for r in q["grf2_components_all"](spark, "").collect()} == least
+    assert {r.community: r["size"] for r in q["grf4_communities_all"](spark, "").collect()} == sizes
+    assert {r.node: r.closeness for r in q["grf10_closeness_all"](spark, "").collect()} == want
+    v = [(i, [float(i), 1.0], 0) for i in range(1, 12)]
+    monkeypatch.setattr(analytics, "_vectors", lambda s, d: s.createDataFrame([(i, x, c) for i, x, c in v], "id long, v array<float>, label int"))
+    assert {r.query for r in q["vec5_l2sq_metric_all"](spark, "").collect()} == set(range(1, 12))
+
+    papers = spark.createDataFrame([(i, f"On deep notes and cards {i}", 2000) for i in range(3000, 3500)], "id long, title string, year int")
+    for m in (relational, texts):
+        monkeypatch.setattr(m.ad, "papers", lambda s, d: papers)
+    monkeypatch.setattr(relational.ad, "bridge", lambda s, d: s.createDataFrame([(3000, 1)], "paper_id long, card_id long"))
+    assert [r.id for r in relational.QUERIES["agg22_reading_order_all"](spark, "").collect()] == [*range(3001, 3500), 3000]
+    monkeypatch.setattr(texts.ad, "paper_authors", lambda s, d: s.createDataFrame([(3000, "a"), (3001, "a")], "paper_id long, author string"))
+    assert [(r.id_a, r.id_b) for r in texts.ent3_duplicates(spark, "").collect()] == [(3000, 3001)]
+    monkeypatch.setattr(texts.ad, "table", lambda s, d, n: s.createDataFrame([(i, f"{w} things", "tin", "b", 1) for i, w in ((600, "one"), (620, "seventeen"))], "p_partkey long, p_name string, p_type string, p_brand string, p_size int"))
+    assert {(r.l, r.r, r.match_type) for r in texts.ent5_match_chain(spark, "").collect()} == {(600, 600, "exact"), (620, 620, "fuzzy")}
+
+
 def test_query_syntax(spark):
     df = spark.createDataFrame([(1, "deep learning models", "x"), (2, "deep notes", "learning"), (3, "shallow learner", "y")], "id long, a string, b string")
     ids = lambda q: [r.id for r in search.search(df, q, "id", ["a", "b"]).collect()]
