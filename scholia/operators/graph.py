@@ -7,6 +7,7 @@ Iterative algorithms keep their state as tables and cut lineage by Parquet below
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -79,15 +80,16 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolera
     return rank
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 30) -> DataFrame:
-    """GRF5/GRF10: ``source, node, distance, parent`` by level-wise search from all sources at once.
+def distances(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """GRF5/GRF10: ``source, node, distance, parent`` by level-wise search from all sources at once,
+    until nothing new is reached; with ``max_rounds`` only nodes up to that distance.
 
     The parent is the smallest node of the level before, so paths are the same in every run.
     """
     both = cut(symmetric(edges))
     found = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(None).cast("long").alias("parent")))
     front = found
-    for level in range(1, max_rounds + 1):
+    for level in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         step = front.join(both, front["node"] == both["a"]).groupBy("source", F.col("b").alias("node")).agg(F.min("a").alias("parent"))
         fresh = cut(step.join(found.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("distance"), "parent"))
         if fresh.limit(1).isEmpty():

@@ -209,6 +209,14 @@ def test_louvain_and_paths(spark):
 # --- search, relations, streaming ---
 
 
+def test_distances_on_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(33)], "a long, b long")
+    got = graph.distances(e, spark.createDataFrame([(0,)], "node long"))
+    assert {r.node: r.distance for r in got.collect()} == {i: i for i in range(34)}
+    assert graph.closeness(got).collect()[0].closeness == 33 / sum(range(34))
+    assert graph.distances(e, spark.createDataFrame([(0,)], "node long"), 2).count() == 3
+
+
 def test_whole_tables(spark, monkeypatch):
     """The registered queries lose nothing outside the id ranges and residues of the SQL."""
     from scholia.plans import analytics, relational, texts
