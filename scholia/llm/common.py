@@ -86,16 +86,17 @@ def ship(spark: SparkSession, batch_bytes: int = 4 << 20) -> None:
     sc._scholia_shipped = True
 
 
-def restrict(docs: DataFrame, col: str, ids: DataFrame, how: str = "left_semi", most: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """Rows of ``docs`` whose ``col`` is (not) in the one-column ``ids``.
+def restrict(docs: DataFrame, cols: str | list[str], ids: DataFrame, how: str = "left_semi", most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` whose ``cols`` are (not) among the rows of ``ids``, whose columns stand in the same order.
 
-    ``ids`` is counted first: up to ``most`` ids are broadcast, so that whole texts need not be
+    ``ids`` are counted first: up to ``most`` ids are broadcast, so that whole texts need not be
     shuffled; more are joined by a shuffle.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("_scholia_id")).distinct()
+    cols = [cols] if isinstance(cols, str) else cols
+    ids = ids.select(*[F.col(c).alias(f"_scholia_id{i}") for i, c in enumerate(ids.columns)]).distinct()
     few = ids.limit(most + 1).count() <= most
     side = F.broadcast(ids) if few else ids.hint("merge")
-    return docs.join(side, docs[col] == side["_scholia_id"], how)
+    return docs.join(side, [docs[c] == side[f"_scholia_id{i}"] for i, c in enumerate(cols)], how)
 
 
 def components(scratch: Scratch, links: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:

@@ -2,30 +2,34 @@
 
 1. Each text becomes the sorted set of its shingles' 64-bit hashes. Equal sets are one node, named
    by a hash of the set, so copies cost one row.
-2. Stars: nodes that share a least hash (under several permutations) and a size band are compared
-   with the bucket's smallest node. These real links make first components.
-3. Rounds: each component is compared with another by its pair of largest bound (see 4), and joined with
-   it if they link, which connects large groups of near copies by few comparisons.
-4. Completion: sets at or above the threshold share a shingle among the first
-   ``n - ceil(t * n) + 1`` of any common order. The order puts shingles found often last, then goes
-   by hash. Shingles whose holders are all in one component are finished; the others' holders meet
-   in tiles of a shingle and a size band (two sets that link lie in the same or adjacent bands of
-   ratio 1 / t). In a tile only pairs of different components and fitting sizes count, and bit
-   counts of hashed bitmaps bound their overlap from above.
-5. Pairs left are decided by intersecting the sorted arrays, and all links joined to components.
-
-No link is lost: later steps only skip pairs that are already connected or provably too far
-apart, and nothing is capped. Tiles above ``TILE`` rows are cut into blocks that meet pairwise.
-
-Scale: texts are never shuffled while the ids to be read again can be broadcast (a checked bound);
-otherwise they are joined once. A node's postings are a quarter of its shingles, sorted and read
-as a stream, so no group is held in memory. The list of frequent shingles is bounded
-(``MAX_HOT``); it only improves the order.
+2. Stars: nodes that share one of their least hashes and a size band are compared with the bucket's
+   centre, drawn by hash; first by the least hash alone, then by the others where components still
+   differ. These real links make first components.
+3. Completion: sets at or above the threshold share a shingle among the first
+   ``n - ceil(t * n) + 1`` of any common order. The order puts shingles that only one node holds
+   first, as told by a Bloom filter of fixed size, then the others by how often they are held, then by hash.
+   So a prefix holds shared shingles only where a set consists of them for the most part, and only
+   those make rows. Holders of a shingle that are all in one component are finished; the others
+   meet in tiles of a shingle and a size band (two sets that link lie in the same or adjacent bands
+   of ratio 1 / t). In a tile only pairs of different components and fitting sizes count, and bit
+   counts of hashed bitmaps bound their overlap from above. A first round takes each component's
+   pair of largest bound only, which connects large groups of near copies by few comparisons.
+4. Pairs left, those of stars as well, pass the bound of their bitmaps and are then decided by
+   intersecting the sorted arrays; all links are joined to components.
+
+No link is lost: steps only skip pairs that are already connected or provably too far apart, and
+nothing is capped. Tiles above ``TILE`` rows or ``TILE_BYTES`` of bitmaps are cut into blocks that
+meet pairwise.
+
+Scale: texts are never shuffled while the keys of the rows to be read again can be broadcast (a
+checked bound); otherwise they are joined once. What is moved are four bytes a shingle for the
+filter, and rows for the shared shingles of prefixes. Where the input saturates the filter, more
+shingles count as shared, with the same result; raise ``bloom_bytes`` with the executors.
 
 Edge cases: null and empty texts and texts without words have empty sets and are linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle; rows with a null id
-are linked with nothing and have a null component; repeated rows and ids are copies or documents of
-their own that share the id; texts of any length are read whole; other columns are ignored.
+are linked with nothing and have a null component; rows that share an id are told apart by their
+texts, equal rows are copies; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +40,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import Scratch, components, free_shuffles, restrict, ship
+from scholia.llm import twice
+from scholia.llm.common import WS_BYTES, Scratch, components, free_shuffles, restrict, ship
 
-STARS, ROUNDS, TILE, TOP, MAX_HOT, CHUNK = 6, 1, 1024, 200_000, 200_000, 2_000_000
+STARS, ROUNDS, TILE, TILE_BYTES, TOP, MAX_HOT, CHUNK, PAIRS = 6, 1, 2048, 8 << 20, 200_000, 200_000, 4_000_000, 500_000
+BLOOM_BYTES, SEGMENT = 32 << 20, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.isin(np.arange(256), np.frombuffer(WS_BYTES, np.uint8))
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -51,35 +58,72 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Shingler:
-    """Sets of shingle hashes of many texts at once; hashes of words are kept for a batch."""
+    """Sets of shingle hashes of many texts at once.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over the whole batch.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
 
     def __init__(self, words: int, seed: int):
         self.k, self.seed = words, seed
+        self.letters = np.random.default_rng(seed).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.up, self.down = powers(self.BASE, SEGMENT), powers(pow(self.BASE, -1, 1 << 64), SEGMENT + 1)
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letters[data] * self.up[: len(data)], out=out[1:])
+        return out
+
+    def codes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words ``data[start:end]``, in pieces of at most SEGMENT bytes."""
+        out = np.zeros(len(start), np.uint64)
+        piece = start // SEGMENT
+        cut = end > (piece + 1) * SEGMENT
+        for at in range(0, len(data), SEGMENT):
+            a, b = np.searchsorted(start, [at, at + SEGMENT])
+            own = np.arange(a, b)[~cut[a:b]]
+            if len(own):
+                total = self.sums(data[at : at + SEGMENT])
+                out[own] = (total[end[own] - at] - total[start[own] - at]) * self.down[start[own] - at]
+        for i in np.flatnonzero(cut):  # words across two pieces, each by itself
+            word = data[start[i] : end[i]]
+            out[i] = self.sums(word)[-1] if len(word) <= SEGMENT else xxhash.xxh3_64_intdigest(word.tobytes(), self.seed)
+        return scramble(out + (end - start).astype(np.uint64) * MIX)
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For each text the sorted distinct hashes of its shingles."""
-        split = [(t or b"").lower().split() for t in texts]
-        known: dict[bytes, int] = {}
-        for own in split:
-            for w in set(own):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w, self.seed)
-        sizes = np.array([len(x) for x in split], np.int64)
-        total = int(sizes.sum())
-        codes = np.fromiter((known[w] for own in split for w in own), np.uint64, total)
-        factors = [pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(self.k)]
-        if total >= self.k:
-            h = codes[: total - self.k + 1] * np.uint64(factors[0])
+        raw = b"\n".join([(t or b"") for t in texts]).lower() + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[data]]).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        code = self.codes(data, start, end)
+        stops = np.cumsum([len(t or b"") + 1 for t in texts])
+        last = np.searchsorted(start, stops)
+        factors = [np.uint64(pow(self.BASE, 2 * i + 3, 1 << 64)) for i in range(self.k)]
+        h = np.zeros(0, np.uint64)
+        if len(code) >= self.k:
+            m = len(code) - self.k + 1
+            h = code[:m] * factors[0]
             for i in range(1, self.k):
-                h = scramble(h) + codes[i : total - self.k + 1 + i] * np.uint64(factors[i])
+                h += code[i : m + i] * factors[i]
             h = scramble(h)
         out, at = [], 0
-        for n, own in zip(sizes.tolist(), split):
+        for n in np.diff(last, prepend=0).tolist():
             if n >= self.k:
-                out.append(np.unique(h[at : at + n - self.k + 1]))
+                own = np.sort(h[at : at + n - self.k + 1])
+                new = own[1:] != own[:-1]
+                out.append(own if new.all() else own[np.append(True, new)])
             elif n:
-                out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(own), self.seed + n)], np.uint64))
+                own = code[at : at + n] * np.array(factors[:n])
+                out.append(scramble(own.sum(keepdims=True) + np.uint64(n)))
             else:
                 out.append(np.zeros(0, np.uint64))
             at += n
@@ -118,6 +162,13 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def most_common(na: int, nb: int, p: bytes, q: bytes) -> int:
+    """An upper bound of the overlap of two sets of these sizes with these bitmaps."""
+    a, b = folded([p, q])
+    both = int(np.bitwise_count(a & b).sum())
+    return min(na - int(np.bitwise_count(a).sum()), nb - int(np.bitwise_count(b).sum())) + both
+
+
 def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap at which two sets of these sizes link."""
     return -(-percent * (na + nb) // (100 + percent))
@@ -143,143 +194,117 @@ def tile_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, maps: list[byt
     return (np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_m)) if out_i else (z, z, z)
 
 
-def profile(docs: DataFrame, words: int, seed: int, percent: int) -> DataFrame:
-    """A row for each document (``hot`` null): node, set size, least hashes, band and bitmap; and rows of
-    shingles found in at least four texts of a task's chunk (``hot`` and their count in ``n``)."""
+def texts_of(b: pa.RecordBatch) -> list[bytes | None]:
+    return b.column("text").cast(pa.binary()).to_pylist()
 
-    def run(batches):
-        shingler, chunk, held = Shingler(words, seed), [], 0
-        salts = [np.uint64(pow(3, 40 + i, 1 << 64)) for i in range(STARS)]
 
-        def often():
-            h, times = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            h, times = h[times >= 4], times[times >= 4]
-            k = len(h)
-            none = [pa.nulls(k, t) for t in (kind, pa.int64(), pa.int64())]
-            return pa.RecordBatch.from_arrays([*none, pa.array(times), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(h.view(np.int64))], NAMES)
+def profile(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """``id, k, node, node2, n, least``: for each row the names of its set, the set's size and least hashes."""
 
+    def run(batches):
+        shingler = Shingler(words, seed)
         for b in batches:
-            kind = b.column("id").type
-            sets = shingler.sets(b.column("text").cast(pa.binary()).to_pylist())
-            names = [node_of(s) for s in sets]
-            n = np.array([len(s) for s in sets], np.int64)
-            least = [[int(scramble(s ^ salt).min().view(np.int64)) for salt in salts] if len(s) else [] for s in sets]
+            sets = shingler.sets(texts_of(b))
+            names = np.array([node_of(s) for s in sets], np.int64).reshape(-1, 2)
+            least = [s[:STARS].view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([x for x, _ in names], pa.int64()), pa.array([x for _, x in names], pa.int64()), pa.array(n), pa.array(least, pa.list_(pa.int64())),
-                 pa.array(band_of(n, percent / 100)), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(n), pa.int64())], NAMES)
-            chunk += sets
-            held += int(n.sum())
-            if held >= CHUNK:
-                yield often()
-                chunk, held = [], 0
-        if chunk:
-            yield often()
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, node2 long, n long, least array<long>, band int, bits binary, hot long")
+                [b.column("id"), b.column("k"), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), pa.array(least, pa.list_(pa.int64()))],
+                ["id", "k", "node", "node2", "n", "least"])
 
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k long, node long, node2 long, n long, least array<long>")
 
-NAMES = ["id", "node", "node2", "n", "least", "band", "bits", "hot"]
 
-
-def sets_of(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """``node, items`` of each text."""
+def sets_of(docs: DataFrame, words: int, seed: int, arrays: bool = True) -> DataFrame:
+    """``node, bits`` and with ``arrays`` ``items`` of each text that has words."""
 
     def run(batches):
         shingler = Shingler(words, seed)
         for b in batches:
-            sets = shingler.sets(b.column("text").cast(pa.binary()).to_pylist())
-            ends = np.cumsum([0] + [len(s) for s in sets])
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s)[0] for s in sets], pa.int64()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "items"])
+            sets = [s for s in shingler.sets(texts_of(b)) if len(s)]
+            columns = [pa.array([node_of(s)[0] for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())]
+            if arrays:
+                columns.append(pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["node", "bits", "items"][: len(columns)])
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+    return docs.mapInArrow(run, "node long, bits binary" + ", items array<long>" * arrays).dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the threshold."""
+    """The pairs ``a, b`` whose sets reach the threshold: bitmaps bound the overlap first."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            keep = np.zeros(batch.num_rows, bool)
             x, y = batch.column("x"), batch.column("y")
             xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
+            maps = [batch.column(c).to_pylist() for c in ("p", "q")]
             for i in range(batch.num_rows):
+                na, nb = int(xo[i + 1] - xo[i]), int(yo[i + 1] - yo[i])
+                need = -(-percent * (na + nb) // (100 + percent))
+                if most_common(na, nb, maps[0][i], maps[1][i]) < need:
+                    continue
                 p, q = xv[xo[i] : xo[i + 1]].view(np.uint64), yv[yo[i] : yo[i + 1]].view(np.uint64)
                 small, large = (p, q) if len(p) <= len(q) else (q, p)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                keep.append(int((large[at] == small).sum()) >= int(needed(np.int64(len(p)), np.int64(len(q)), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep[i] = int((large[at] == small).sum()) >= need
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    left, right = (sets.select(F.col("node").alias(n), F.col("items").alias(v), F.col("bits").alias(m)) for n, v, m in (("a", "x", "p"), ("b", "y", "q")))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
 
-    full = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
+def star_pairs(nodes: DataFrame, percent: int, first: int, last: int) -> DataFrame:
+    """Each node with one node, drawn by hash, of its buckets ``first`` to ``last - 1`` (place among the least hashes, hash, band).
 
-def star_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Each node with one node, drawn by hash, of every bucket (permutation, least hash, band) that it is in."""
-    flat = nodes.select("node", "n", "band", F.posexplode("least").alias("i", "h"))
-    low = flat.groupBy("i", "h", "band").agg(F.min(F.struct(F.xxhash64("i", "node").alias("r"), "node", "n")).alias("low"), F.count("*").alias("c")).where("c > 1").select("i", "h", "band", "low")
-    pairs = flat.join(low, ["i", "h", "band"]).where(F.col("low.node") != F.col("node")).where(F.least("n", "low.n") * 100 >= F.greatest("n", "low.n") * percent)
+    ``nodes``: node, n, band, least and comp; pairs within a component are left out.
+    """
+    flat = nodes.select("node", "n", "band", "comp", F.explode(F.slice("least", first + 1, last - first)).alias("h"))
+    low = flat.groupBy("h", "band").agg(F.min(F.struct(F.xxhash64("h", "node").alias("r"), "node", "n", "comp")).alias("low"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("h", "band", "low")
+    pairs = flat.join(low, ["h", "band"]).where(F.col("low.comp") != F.col("comp")).where(F.least("n", "low.n") * 100 >= F.greatest("n", "low.n") * percent)
     return pairs.select(F.least("low.node", "node").alias("a"), F.greatest("low.node", "node").alias("b")).distinct()
 
 
-def postings(docs: DataFrame, words: int, seed: int, percent: int, hot) -> DataFrame:
-    """``token, node`` of the prefix of each set; ``hot``: a broadcast sorted array of frequent shingles."""
+def shared_shingles(docs: DataFrame, words: int, seed: int, bloom_bytes: int) -> twice.Filter:
+    """The filter of the shingles that two rows share (``docs``: no two rows of one set, but for repeated rows)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    buckets = twice.bucket_count(int(total) // 6)
 
     def run(batches):
-        shingler, often = Shingler(words, seed), hot.value
+        shingler, chunk = Shingler(words, seed), twice.Chunk(buckets, CHUNK)
         for b in batches:
-            tokens, nodes, sizes = [], [], []
-            for s in shingler.sets(b.column("text").cast(pa.binary()).to_pylist()):
-                if len(s):
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        late = often[at] == s
-                        if late.any():
-                            s = np.concatenate([s[~late], s[late]])
-                            name = node_of(np.sort(s))[0]
-                        else:
-                            name = node_of(s)[0]
-                    else:
-                        name = node_of(s)[0]
-                    p = len(s) + percent * len(s) // -100 + 1
-                    tokens.append(s[:p])
-                    nodes.append(name)
-                    sizes.append(p)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], ["token", "node"])
+            for s in shingler.sets(texts_of(b)):
+                if (full := chunk.add(s)) is not None:
+                    yield full
+        if (rest := chunk.flush()) is not None:
+            yield rest
 
-    return docs.mapInArrow(run, "token long, node long")
+    return twice.build(docs.select("text").mapInArrow(run, twice.SCHEMA), buckets, bloom_bytes, MAX_HOT)
 
 
-def shared_tokens(sorted_posts: DataFrame) -> DataFrame:
-    """Of postings sorted by token and node, those of tokens with at least two nodes, each once. A stream: one row is held back."""
+def postings(docs: DataFrame, words: int, seed: int, percent: int, shared) -> DataFrame:
+    """``token, node`` of the shingles in the prefix of each set that other sets may hold (``shared``: a broadcast filter)."""
 
     def run(batches):
-        last_t = last_n = None
-        told = False  # whether the row held back has been passed on
+        shingler = Shingler(words, seed)
         for b in batches:
-            t, n = b.column("token").to_numpy(), b.column("node").to_numpy()
-            if not len(t):
-                continue
-            if last_t is not None:
-                t, n = np.concatenate([[last_t], t]), np.concatenate([[last_n], n])
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
-            keep_told = told and last_t is not None
-            t, n = t[new], n[new]
-            like = np.zeros(len(t), bool)
-            like[1:] = t[1:] == t[:-1]
-            like[:-1] |= t[1:] == t[:-1]
-            emit = like.copy()
-            if keep_told:
-                like[0] = True
-                emit[0] = False
-                if len(t) > 1 and t[1] == t[0]:
-                    emit[1] = True
-            last_t, last_n, told = int(t[-1]), int(n[-1]), bool(like[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(t[emit]), pa.array(n[emit])], ["token", "node"])
-
-    return sorted_posts.mapInArrow(run, "token long, node long")
+            sets = [s for s in shingler.sets(texts_of(b)) if len(s)]
+            tokens, nodes, sizes = [], [], []
+            level = shared.value.level(np.concatenate(sets)) if sets else np.zeros(0, np.uint8)
+            at = 0
+            for s in sets:
+                own = level[at : at + len(s)]
+                at += len(s)
+                left = len(s) + percent * len(s) // -100 + 1 - int((own == 0).sum())  # of the prefix, behind the unshared
+                if left > 0:
+                    late = np.flatnonzero(own)
+                    late = late[np.argsort(own[late], kind="stable")][:left]
+                    tokens.append(s[late])
+                    nodes.append(node_of(s)[0])
+                    sizes.append(left)
+            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), np.array(sizes, np.int64)))], ["token", "node"])
+
+    return docs.mapInArrow(run, "token long, node long")
 
 
 def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, partitions: int, best: bool) -> DataFrame:
@@ -289,8 +314,10 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
     Bitmaps (``maps``: node, bits) join only rows of tiles that hold a possible pair, and are moved once.
     """
     both = rows.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.when(F.col("home"), F.col("band")).otherwise(F.col("band") + 1))
-    counts = both.groupBy("token", "tile").agg(F.count("*").alias("c"), F.count_if("home").alias("homes"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-    counts = counts.where("c > 1 AND homes > 0 AND x != y").select("token", "tile", F.ceil(F.col("c") / TILE).cast("int").alias("blocks"))
+    counts = both.groupBy("token", "tile").agg(F.count("*").alias("c"), F.count_if("home").alias("homes"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("n"))
+    wide = F.least(F.greatest(F.col("n"), F.lit(64)), F.lit(16384))  # bytes of the widest bitmap, at most
+    blocks = F.ceil(F.greatest(F.col("c") / TILE, F.col("c") * wide / TILE_BYTES)).cast("int")
+    counts = counts.where("c > 1 AND homes > 0 AND x != y").select("token", "tile", blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = both.join(counts, ["token", "tile"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = scratch.cut(placed.select("token", "tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "n", "home"), "placed")
@@ -298,8 +325,12 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
     key = ["token", "tile", "i", "j"]
     placed = placed.join(maps, "node").repartition(partitions, *key).sortWithinPartitions(*key, "node")
 
+    def batch_of(a, b):
+        got = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], ["a", "b"])
+
     def pairs_of(cols, top):
-        seen_a, seen_b = [], []
+        seen_a, seen_b, held = [], [], 0
         same = np.ones(len(cols["node"]), bool)
         same[1:] = False
         for k in key:
@@ -319,10 +350,12 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
                 elif len(i):
                     seen_a.append(np.minimum(node[i], node[j]))
                     seen_b.append(np.maximum(node[i], node[j]))
-        if not seen_a:
-            return None
-        got = np.unique(np.stack([np.concatenate(seen_a), np.concatenate(seen_b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, 0])), pa.array(np.ascontiguousarray(got[:, 1]))], ["a", "b"])
+                    held += len(i)
+                    if held >= PAIRS:
+                        yield batch_of(seen_a, seen_b)
+                        seen_a, seen_b, held = [], [], 0
+        if seen_a:
+            yield batch_of(seen_a, seen_b)
 
     def of_components(top):
         c = list(top)
@@ -339,14 +372,13 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
             for k in key:
                 end &= cols[k] == cols[k][-1]
             cut = int(np.flatnonzero(end)[0])  # sorted: the last tile may go on in the next batch
-            if (got := pairs_of({c: v[:cut] for c, v in cols.items()}, top)) is not None:
-                yield got
+            yield from pairs_of({c: v[:cut] for c, v in cols.items()}, top)
             if len(top) > TOP:
                 yield of_components(top)
                 top = {}
             rest = {c: v[cut:] for c, v in cols.items()}
-        if rest is not None and (got := pairs_of(rest, top)) is not None:
-            yield got
+        if rest is not None:
+            yield from pairs_of(rest, top)
         if best:
             yield of_components(top)
 
@@ -356,78 +388,115 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """``id_col, n_shingles, component_id`` for each document; links are Jaccard similarities of at least percent / 100."""
+def linked(scratch: Scratch, docs: DataFrame, words: int, percent: int, bloom_bytes: int) -> DataFrame:
+    """``id, k, n, root, component_id`` for rows ``id, k, text``, ``k`` a hash of the text: root names the component, if it has one."""
     spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "near")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(1, 6):  # two sets of one name: all names anew
-        rows = scratch.cut(profile(docs, words, seed, percent), f"profile-{seed}")
-        texts = rows.where("hot IS NULL")
-        nodes = scratch.cut(
-            texts.where("n > 0 AND id IS NOT NULL").groupBy("node").agg(
-                F.min("id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("band").alias("band"), F.first("bits").alias("bits"), (F.min("node2") != F.max("node2")).alias("clash"), F.count("*").alias("copies")
-            ), f"nodes-{seed}"
-        )
-        if nodes.where("clash").limit(1).isEmpty():
+        rows = scratch.cut(profile(docs, words, seed), f"profile-{seed}")
+        real = rows.where("n > 0 AND id IS NOT NULL")
+        names = scratch.cut(real.groupBy("node").agg(F.min("id").alias("rep"), (F.min("node2") != F.max("node2")).alias("clash"), F.count("*").alias("copies")), f"names-{seed}")
+        if names.where("clash").limit(1).isEmpty():
             break
     else:
         raise RuntimeError("hashes of sets keep clashing")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    firsts = names.where("copies > 1").select("node", "rep")
+    later = scratch.cut(real.select("id", "k", "node").join(firsts, "node").where(F.col("id") != F.col("rep")).select("id", "k").distinct(), "later")
+    some = not later.limit(1).isEmpty()
+    docs = docs.where(F.col("id").isNotNull())
+    sole = restrict(docs, ["id", "k"], later, "left_anti") if some else docs  # a row for each set, or repeated rows
+    nodes = restrict(real, ["id", "k"], later, "left_anti") if some else real
+    band = F.floor(F.log("n") / -math.log(percent / 100) + 1e-9).cast("int")
+    nodes = scratch.cut(nodes.select("id", "k", "node", "n", band.alias("band"), "least"), "nodes")
+    free_shuffles(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.cut(pairs, f"{name}-pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        reps = nodes.join(ends, "node", "left_semi").select("rep")
-        sets = sets_of(restrict(docs, "id", reps), words, seed).dropDuplicates(["node"])
-        return scratch.cut(confirmed(pairs, sets, percent), f"{name}-links")
+        keys = scratch.cut(nodes.join(ends, "node", "left_semi").select("id", "k"), f"{name}-keys")
+        out = scratch.cut(confirmed(pairs, sets_of(restrict(sole, ["id", "k"], keys), words, seed), percent), f"{name}-links")
+        scratch.drop(f"{name}-pairs", f"{name}-keys")
+        free_shuffles(spark)
+        return out
 
-    stars = verified(star_pairs(nodes, percent), "star")
-    free_shuffles(spark)
-    first = scratch.cut(components(scratch, stars, "first"), "first-roots")
-    free_shuffles(spark)
+    def rooted(df: DataFrame, roots: DataFrame | None, *columns: str) -> DataFrame:
+        if roots is None:
+            return df.select(*columns, F.col("node").alias("comp"))
+        return df.join(roots.select("node", "root"), "node", "left").select(*columns, F.coalesce("root", "node").alias("comp"))
+
+    links = roots = None
 
-    hot = [r.hot for r in rows.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "hot").limit(MAX_HOT).select("hot").collect()]
-    hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
-    firsts = nodes.where("copies > 1").select("node", "rep")
-    later = texts.where("n > 0").join(firsts, "node").where(F.col("id") != F.col("rep")).select("id")
-    posts = postings(restrict(docs.where("id IS NOT NULL"), "id", later, "left_anti"), words, seed, percent, hot)
-    shared = scratch.cut(shared_tokens(posts.repartition(partitions, "token").sortWithinPartitions("token", "node")), "shared")
+    def join(new: DataFrame, name: str) -> None:
+        nonlocal links, roots
+        if not new.limit(1).isEmpty():
+            links = new if links is None else links.unionByName(new)
+            old = f"{name}-roots"
+            roots = scratch.cut(components(scratch, links, name), old)
+            free_shuffles(spark)
+
+    for first, last in ((0, 1), (1, STARS)):
+        if first < last:
+            join(verified(star_pairs(rooted(nodes, roots, "node", "n", "band", "least"), percent, first, last), f"star-{first}"), f"first-{first}")
+    shared = spark.sparkContext.broadcast(shared_shingles(sole, words, seed, bloom_bytes))
     free_shuffles(spark)
-    links, roots = stars, first
+    posts = scratch.cut(postings(sole, words, seed, percent, shared), "posts")
     for step in range(ROUNDS + 1):  # rounds of each component's best pair, then all pairs left
-        with_comp = scratch.cut(shared.join(roots.select("node", "root"), "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp")), f"comp-{step}")
+        with_comp = scratch.cut(rooted(posts, roots, "token", "node"), f"comp-{step}")
         open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-        left = scratch.cut(with_comp.join(open_tokens, "token").join(nodes.select("node", "n", "band"), "node"), f"open-{step}")
-        shared = left.select("token", "node")  # settled shingles stay settled
-        scratch.drop(f"comp-{step}", "shared", f"open-{step - 1}")
+        sizes = nodes.select("node", "n", "band").distinct()
+        left = scratch.cut(with_comp.join(open_tokens, "token", "left_semi").join(sizes, "node"), f"open-{step}")
+        posts = left.select("token", "node")  # settled shingles stay settled
+        scratch.drop(f"comp-{step}", "posts", f"open-{step - 1}")
         free_shuffles(spark)
         if left.limit(1).isEmpty():
             break
-        new = verified(tiles(scratch, left, nodes.select("node", "bits"), percent, partitions, step < ROUNDS), f"tile-{step}")
-        scratch.drop("placed")
-        if not new.limit(1).isEmpty():
-            links = links.unionByName(new)
-            roots = components(scratch, links, f"round-{step}")
-    of = texts.select("id", "node", "n").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
-    named = of.where("n > 0 AND id IS NOT NULL").groupBy("root").agg(F.min("id").alias("component_id"))
-    return of.join(named, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id")).alias("component_id")
+        keys = scratch.cut(nodes.join(left.select("node").distinct(), "node", "left_semi").select("id", "k"), f"keys-{step}")
+        maps = sets_of(restrict(sole, ["id", "k"], keys), words, seed, arrays=False)
+        join(verified(tiles(scratch, left, maps, percent, partitions, step < ROUNDS), f"tile-{step}"), f"round-{step}")
+        scratch.drop("placed", f"keys-{step}")
+    shared.destroy()
+    if roots is None:
+        label = names.select("node", "rep", F.lit(None).cast("long").alias("root"), F.col("rep").alias("component_id"), "copies")
+    else:
+        tied = scratch.cut(names.join(roots.select("node", "root"), "node"), "tied")
+        least = tied.groupBy("root").agg(F.min("rep").alias("component_id"))
+        label = names.join(tied.join(least, "root").select("node", "root", "component_id"), "node", "left").select("node", "rep", "root", F.coalesce("component_id", "rep").alias("component_id"), "copies")
+    label = scratch.cut(label.where("copies > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "component_id"), "labels")  # all others are alone
+    real = (F.col("n") > 0) & F.col("id").isNotNull()
+    return rows.select("id", "k", "node", "n").join(label, "node", "left").select(
+        "id", "k", "n", F.when(real, F.col("root")).alias("root"), F.when(F.col("id").isNotNull() & real, F.coalesce("component_id", "id")).when(F.col("n") == 0, F.col("id")).alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without those of a component other than its smallest id.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bloom_bytes: int = BLOOM_BYTES) -> DataFrame:
+    """``id_col, n_shingles, component_id`` for each document; links are Jaccard similarities of at least percent / 100."""
+    ship(docs.sparkSession)
+    found = linked(Scratch(docs.sparkSession, "near"), keyed(docs, id_col, text_col), words, percent, bloom_bytes)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bloom_bytes: int = BLOOM_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, without those of a component other than one of its smallest id.
 
-    Of rows that share the smallest id one stays (the least by text).
+    Of rows that share the smallest id one stays (the least by a hash of the text).
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    kept = restrict(docs, id_col, gone, "left_anti")
-    twice = found.where((F.col(id_col) == F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(id_col).count().where("count > 1").select(id_col)
-    if twice.limit(1).isEmpty():
-        return kept
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    one = restrict(kept, id_col, twice).withColumn("_scholia_n", F.row_number().over(order)).where("_scholia_n = 1").drop("_scholia_n")
-    return restrict(kept, id_col, twice, "left_anti").unionByName(one)
+    ship(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "near")
+    found = scratch.cut(linked(scratch, keyed(docs, id_col, text_col), words, percent, bloom_bytes).where("root IS NOT NULL").select("id", "k", "root", "component_id"), "found")
+    scratch.drop("labels")
+    first = found.where(F.col("id") == F.col("component_id"))
+    stays = first.groupBy("root").agg(F.min("k").alias("k"), F.first("component_id").alias("id"), F.count("*").alias("rows"))
+    gone = found.join(stays.select(F.col("id").alias("i"), F.col("k").alias("j"), F.col("root").alias("r")), (F.col("id") == F.col("i")) & (F.col("k") == F.col("j")) & (F.col("root") == F.col("r")), "left_anti")
+    names = docs.columns
+    rows = docs.select(*[F.col(n).alias(f"c{i}") for i, n in enumerate(names)], F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("k"))
+    kept = restrict(rows, ["id", "k"], scratch.cut(gone.select("id", "k"), "gone"), "left_anti")
+    twice_ = scratch.cut(stays.where("rows > 1").select("id", "k"), "twice")  # equal rows, or several texts of the id
+    plain = lambda df: df.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    if twice_.limit(1).isEmpty():
+        return plain(kept)
+    one = restrict(kept, ["id", "k"], twice_).dropDuplicates(["id", "k"])
+    return plain(restrict(kept, ["id", "k"], twice_, "left_anti").unionByName(one))

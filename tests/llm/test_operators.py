@@ -15,7 +15,7 @@ import xxhash
 
 from pyspark.sql import functions as F
 
-from scholia.llm import boosting, bpe, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, url_filter, vector_search
+from scholia.llm import boosting, bpe, line_dedup, mixing, ngram_join, pii, quality_rules, sharding, suffix_dedup, twice, url_filter, vector_search
 from scholia.llm.common import Scratch, components, restrict
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -298,17 +298,38 @@ def test_bitmap_bound_never_hides_a_link():
             assert len(pairs) == 1
 
 
-def test_shared_tokens_streams(spark):
-    rng = random.Random(9)
-    rows = [(rng.randrange(40), rng.randrange(6)) for _ in range(300)]
-    df = spark.createDataFrame(rows, "token long, node long").coalesce(1).sortWithinPartitions("token", "node")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    got = sorted(map(tuple, ngram_join.shared_tokens(df).collect()))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    held: dict = {}
-    for t, n in rows:
-        held.setdefault(t, set()).add(n)
-    assert got == sorted((t, n) for t, s in held.items() if len(s) > 1 for n in s)
+def test_near_duplicates_tell_equal_ids_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    for other in (5, 6):
+        df = spark.createDataFrame([(3, a), (5, a), (other, b), (9, b[:-4])], "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(df).collect()) == sorted([(3, 3), (5, 3), (other, other), (9, other)])
+        assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()) == [(3, a), (other, b)]
+    df = spark.createDataFrame([(8, a), (8, b), (8, b), (9, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()) == [(8, a), (8, b)]
+
+
+def test_shingles_do_not_depend_on_the_batch(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Ana", "bé", "c" * 40, "x" * 300, "d\te", "漢字"]) for _ in range(rng.randrange(30))).encode() for _ in range(50)] + [None, b"", b" \n", b"y" * 3000]
+    for segment in (1 << 20, 64):
+        monkeypatch.setattr(ngram_join, "SEGMENT", segment)
+        whole = ngram_join.Shingler(5, 1)
+        for t, s in zip(texts, whole.sets(texts)):
+            assert s.tolist() == whole.sets([t])[0].tolist()
+            assert len(s) == len(brute.shingles((t or b"").decode()))
+
+
+def test_filter_of_shared_values(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(1 << 63, size=6000, dtype=np.uint64) * np.uint64(2)
+    rows = [v[i * 50 : i * 50 + 60] for i in range(100)] + [v[:1]] * 40  # ten shared with the next row, one held often
+    chunks = [twice.Chunk(64, 700), twice.Chunk(64, 10**6)]
+    blobs = [b for i, r in enumerate(rows) if (b := chunks[i % 2].add(r)) is not None] + [c.flush() for c in chunks]
+    table = spark.createDataFrame([tuple(x) for b in blobs for x in zip(*(c.to_pylist() for c in b.columns))], twice.SCHEMA)
+    f = twice.build(table, 64, 1 << 16, 64)
+    met = np.bincount(np.concatenate([np.searchsorted(np.sort(v), r) for r in rows]), minlength=len(v))[np.searchsorted(np.sort(v), v)]
+    assert f.may_share(v[met > 1]).all() and f.may_share(v[met == 1]).mean() < 0.05
+    assert f.level(v[:1])[0] > 1 and (f.level(v[1:]) <= 1).all()
 
 
 def test_components(spark):
