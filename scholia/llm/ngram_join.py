@@ -12,8 +12,9 @@
    those make rows. Holders of a shingle that are all in one component are finished; the others
    meet in tiles of a shingle and a size band (two sets that link lie in the same or adjacent bands
    of ratio 1 / t). In a tile only pairs of different components and fitting sizes count, and bit
-   counts of hashed bitmaps bound their overlap from above. A first round takes each component's
-   pair of largest bound only, which connects large groups of near copies by few comparisons.
+   counts of hashed bitmaps bound their overlap from above. First rounds take each component's
+   pair of largest bound only, which connects large groups of near copies by few comparisons; once
+   a round finds no link (or after ``ROUNDS``), all pairs left are taken.
 4. Pairs left, those of stars as well, pass the bound of their bitmaps and are then decided by
    intersecting the sorted arrays; all links are joined to components.
 
@@ -46,8 +47,8 @@ from pyspark.sql import functions as F
 from scholia.llm import twice
 from scholia.llm.common import WS_BYTES, Scratch, components, free_shuffles, restrict, ship
 
-STARS, ROUNDS, TILE, TILE_BYTES, TOP, MAX_HOT, CHUNK, PAIRS = 6, 1, 2048, 8 << 20, 200_000, 200_000, 4_000_000, 500_000
-BLOOM_BYTES, SEGMENT = 32 << 20, 1 << 20
+STARS, ROUNDS, TILE, TILE_BYTES, TOP, MAX_HOT, CHUNK, PAIRS = 6, 8, 2048, 8 << 20, 200_000, 200_000, 4_000_000, 500_000
+BLOOM_BYTES, SEGMENT = 16 << 20, 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), np.frombuffer(WS_BYTES, np.uint8))
 
@@ -426,13 +427,14 @@ def linked(scratch: Scratch, docs: DataFrame, words: int, percent: int, bloom_by
 
     links = roots = None
 
-    def join(new: DataFrame, name: str) -> None:
+    def join(new: DataFrame, name: str) -> bool:
         nonlocal links, roots
-        if not new.limit(1).isEmpty():
-            links = new if links is None else links.unionByName(new)
-            old = f"{name}-roots"
-            roots = scratch.cut(components(scratch, links, name), old)
-            free_shuffles(spark)
+        if new.limit(1).isEmpty():
+            return False
+        links = new if links is None else links.unionByName(new)
+        roots = scratch.cut(components(scratch, links, name), f"{name}-roots")
+        free_shuffles(spark)
+        return True
 
     for first, last in ((0, 1), (1, STARS)):
         if first < last:
@@ -440,6 +442,7 @@ def linked(scratch: Scratch, docs: DataFrame, words: int, percent: int, bloom_by
     shared = spark.sparkContext.broadcast(shared_shingles(sole, words, seed, bloom_bytes))
     free_shuffles(spark)
     posts = scratch.cut(postings(sole, words, seed, percent, shared), "posts")
+    best = True
     for step in range(ROUNDS + 1):  # rounds of each component's best pair, then all pairs left
         with_comp = scratch.cut(rooted(posts, roots, "token", "node"), f"comp-{step}")
         open_tokens = with_comp.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
@@ -452,8 +455,15 @@ def linked(scratch: Scratch, docs: DataFrame, words: int, percent: int, bloom_by
             break
         keys = scratch.cut(nodes.join(left.select("node").distinct(), "node", "left_semi").select("id", "k"), f"keys-{step}")
         maps = sets_of(restrict(sole, ["id", "k"], keys), words, seed, arrays=False)
-        join(verified(tiles(scratch, left, maps, percent, partitions, step < ROUNDS), f"tile-{step}"), f"round-{step}")
+        best = best and step < ROUNDS
+        pairs = scratch.cut(tiles(scratch, left, maps, percent, partitions, best), f"tile-{step}")
         scratch.drop("placed", f"keys-{step}")
+        if pairs.limit(1).isEmpty():
+            break
+        more = join(verified(pairs, f"tile-{step}"), f"round-{step}")
+        if not best:
+            break
+        best = more
     shared.destroy()
     if roots is None:
         label = names.select("node", "rep", F.lit(None).cast("long").alias("root"), F.col("rep").alias("component_id"), "copies")
