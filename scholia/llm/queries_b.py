@@ -10,7 +10,7 @@ def op4_quality_rules(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("shard_list", "place")
+    return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {f.__name__: f for f in (op4_quality_rules, op8_mixing)}

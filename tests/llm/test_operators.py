@@ -378,6 +378,81 @@ def test_mixing(docs, rows, empty):
     assert mixing.plan(empty).count() == 0
 
 
+def python_mix(rows, shards, seed=7, blocks=256, copies=3):
+    """id to the words taken and the shards, by a plain version of the tree on lists."""
+    key = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    k = {i: key(spark_xxhash(t)) for i, t, _, _ in rows}
+    block = {i: key(spark_xxhash(i, k[i], "block")) % blocks for i, *_ in rows}
+    size = {i: len(brute.words(t)) for i, t, _, _ in rows}
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    held = {s: {} for s in names}
+    for i, _, _, s in rows:
+        held[s].setdefault(block[i], []).append(i)
+    words = [sum(size[i] for own in held[s].values() for i in own) for s in names]
+    want = mixing.targets(words, [(5, 2, 1)[j % 3] for j in range(len(names))], copies)
+    turns = {s: sorted(held[s], key=lambda b: (key(spark_xxhash(s, np.int32(b), np.int32(seed))), b)) for s in names}
+    lists, last = {}, {}
+    for s, t, w in zip(names, want, words):
+        whole = min(copies, int(t // w)) if w else 0
+        lists[s], rest = [b for _ in range(whole) for b in turns[s]], max(0, round(t) - whole * w)
+        for b in turns[s]:
+            if rest > 0:
+                n = sum(size[i] for i in held[s][b])
+                lists[s].append(b)
+                last[s] = (b, rest) if rest < n else None
+                rest -= n
+
+    def split(quotas, n, rng):
+        if n == 1:
+            return [quotas]
+        first = rng.multivariate_hypergeometric(quotas, int(quotas.sum()) * (n // 2) // n, method="marginals")
+        return split(first, n // 2, rng) + split(quotas - first, n - n // 2, rng)
+
+    out = {i: [0, []] for i, *_ in rows}
+    leaves = split(np.array([len(lists[s]) for s in names]), shards, np.random.default_rng(seed))
+    for j, s in enumerate(names):
+        at = 0
+        for shard, quota in enumerate(leaves):
+            for place in range(at, at + int(quota[j])):
+                b = lists[s][place]
+                cut = last[s][1] if last.get(s) and place == len(lists[s]) - 1 else None
+                for i in sorted(held[s][b], key=lambda i: (key(spark_xxhash(i, k[i], np.int32(seed))), i)):
+                    n = size[i] if cut is None else min(cut, size[i])
+                    cut = None if cut is None else cut - n
+                    if n:
+                        out[i][0] += n
+                        out[i][1].append(shard)
+            at += int(quota[j])
+    return out
+
+
+@pytest.mark.parametrize("shards", [16, 3])
+def test_mixing_is_what_the_tree_draws(docs, rows, shards):
+    got = by_id(mixing.plan(docs, shards=shards))
+    want = python_mix(rows, shards)
+    assert {i: [r.taken, r.shard_list] for i, r in got.items()} == want
+    assert all(len(r.places) == len(r.shard_list) for r in got.values())
+
+
+def test_mixing_deals_copies_and_tells_equal_ids_apart(spark):
+    rows = [(i // 2, f"w{i} " * (3 + i % 5), "ab"[i % 2]) for i in range(300)] + [(7, "x y z", "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_scholia_id", F.lit(1)).withColumn("shard", F.lit(2))
+    got, out = mixing.plan(df, shards=4), mixing.mix(df, shards=4)
+    taken = sorted((r.doc_id, r.taken) for r in got.collect() if r.taken)
+    by: dict = {}
+    for i, t, s in out.select("doc_id", "text", "source").collect():
+        by[i, s, (t or "").split(" ")[0]] = by.get((i, s, (t or "").split(" ")[0]), 0) + len(brute.words(t))
+    assert sum(n for _, n in taken) == sum(by.values()) and out.columns == df.columns
+    for (i, s, _), n in by.items():
+        assert n in [x for j, x in taken if j == i] or i == 7
+    place = {}
+    for r in got.collect():
+        for s, p in zip(r.shard_list, r.places):
+            place.setdefault((r.doc_id, r.size), set()).add(s)
+    for part in out.select("doc_id", "text").rdd.glom().collect():
+        assert len(part) == 0 or len(set.union(*[place[r.doc_id, n] for r in part for n in {x for j, x in place if j == r.doc_id}])) <= 4
+
+
 def test_mixing_targets_and_tree():
     assert mixing.targets([10, 1000], [5, 1]) == [30.0, 980.0]
     assert mixing.targets([0, 5], [5, 1]) == [0.0, 5.0]
