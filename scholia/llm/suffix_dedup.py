@@ -7,7 +7,7 @@ of smaller id. Windows are judged on the input, and never cross documents.
 2. Each window belongs to the shard named by its minimizer, the least hash among its grams of
    ``GRAM`` bytes, so equal windows meet in one shard. Neighbouring windows of one minimizer form a
    run, whose bytes are kept once. Minimizers met in two documents or more are found first, by
-   exchanging their hashes (five bytes each); a Bloom filter of fixed size tells which runs can
+   exchanging their hashes (four bytes each); a Bloom filter of fixed size tells which runs can
    matter. Runs of equal bytes are one class with its smallest and largest id.
 3. A shard's classes are cut into blocks. Each block gets a suffix array by Larsson-Sadakane
    refinement (only groups still unsorted are refined, doubling the depth until it covers a
@@ -16,14 +16,14 @@ of smaller id. Windows are judged on the input, and never cross documents.
 4. Documents are joined with what their runs lost; overlapping intervals are merged, and the bytes
    left are put together.
 
-Scale: no shard grows with one minimizer: a minimizer of more than ``HOT_CLASSES`` classes is taken
-apart into single windows, dealt by their hashes. Passages held by very many documents are one
+Scale: no shard grows with one minimizer: a minimizer of more than ``HOT_CLASSES`` classes, or
+``HOT_BYTES`` of them, is taken apart into single windows, dealt by their hashes. Passages held by very many documents are one
 class, formed by partial aggregates. The filter's size is fixed (``bloom_bytes``), so on inputs
 that saturate it more runs are shuffled, with the same result; raise it with the executors.
 
 Edge cases: a null text is empty; texts shorter than a window lose nothing; rows with a null id
-neither lose bytes nor make others lose any; rows with equal ids do not affect one another;
-repeated rows are documents each; texts of any length are read whole (runs are cut at ``RUN``
+neither lose bytes nor make others lose any; rows with equal ids do not affect one another, and are
+told apart by their texts; repeated rows are documents each; texts of any length are read whole (runs are cut at ``RUN``
 windows); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -39,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.llm.common import MAX_BROADCAST_IDS, Scratch, free_shuffles, ship
+from scholia.llm import twice
+from scholia.llm.common import Scratch, free_shuffles, restrict, ship
 
 GRAM, RUN, LANES = 20, 8192, 4096
-BLOOM_BYTES, CHUNK, BLOCK, SHARD, HOT_CLASSES = 32 << 20, 1_000_000, 1 << 20, 768 << 10, 20_000
-MAX_BROADCAST_BYTES = 16 << 20
+BLOOM_BYTES, CHUNK, BLOCK, SHARD, HOT_CLASSES, HOT_BYTES = 32 << 20, 2_000_000, 1 << 20, 768 << 10, 20_000, 16 << 20
+MAX_BROADCAST_BYTES, MAX_MARKS = 16 << 20, 250_000
 TABLE = np.random.default_rng(11).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -94,95 +95,44 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def minimizer_blobs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``bucket, met, shared``: the minimizers of a task's chunk of texts, and those met in two of its texts."""
-    five = lambda v: (v >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def shared_minimizers(docs: DataFrame, length: int, bloom_bytes: int) -> twice.Filter:
+    """The filter of the minimizers that two texts share."""
+    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    buckets = twice.bucket_count(int(total) // 16)
 
     def run(batches):
-        held, base, chunk = 0, 0, []
-
-        def flush():
-            value, doc = np.concatenate([v for v, _ in chunk]), np.concatenate([d for _, d in chunk])
-            order = np.lexsort((doc, value))
-            value, doc = value[order], doc[order]
-            new = np.ones(len(value), bool)
-            new[1:] = value[1:] != value[:-1]
-            twice = np.zeros(len(value), bool)
-            twice[1:] = ~new[1:] & (doc[1:] != doc[:-1])
-            group = np.cumsum(new) - 1
-            distinct, shared = value[new], np.bincount(group, twice, int(new.sum())) > 0
-            part = (distinct & np.uint64(buckets - 1)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            distinct, shared = distinct[order], shared[order]
-            ends = np.cumsum(np.bincount(part, minlength=buckets))
-            met = [five(distinct[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
-            both = [five(distinct[a:b][shared[a:b]]) for a, b in zip([0, *ends[:-1]], ends)]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(met, pa.binary()), pa.array(both, pa.binary())], ["bucket", "met", "shared"])
-
+        chunk = twice.Chunk(buckets, CHUNK)
         for b in batches:
             doc, _, _, value, _ = runs(b.column("text").to_pylist(), length)
-            if len(value):
-                chunk.append((value, doc + base))
-                held += len(value)
-            base += b.num_rows
-            if held >= CHUNK:
-                yield flush()
-                held, chunk = 0, []
-        if chunk:
-            yield flush()
-
-    return docs.select("text").mapInArrow(run, "bucket int, met binary, shared binary")
-
-
-def _bits(five: np.ndarray, size: int) -> np.ndarray:
-    """Three bit numbers of each value."""
-    h = five.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    a, b = h >> np.uint64(32), (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)
-    return ((a[None] + np.arange(3, dtype=np.uint64)[:, None] * (b | np.uint64(1))[None]) % np.uint64(size)).astype(np.int64)
+            ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)) + 1 if len(doc) else ()
+            at = 0
+            for end in ends:
+                if (full := chunk.add(np.unique(value[at:end]))) is not None:
+                    yield full
+                at = end
+        if (rest := chunk.flush()) is not None:
+            yield rest
 
+    return twice.build(docs.select("text").mapInArrow(run, twice.SCHEMA), buckets, bloom_bytes)
 
-def bloom(blobs: DataFrame, buckets: int, bloom_bytes: int) -> np.ndarray:
-    """The bits, bucket by bucket, of minimizers met in two documents; its size does not depend on the input."""
-    own = max(64, bloom_bytes * 8 // buckets)
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        def read(column):
-            raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, 5)
-            out = np.zeros((len(raw), 8), np.uint8)
-            out[:, :5] = raw
-            return out.view("<u8").ravel()
-
-        v, times = np.unique(read(pdf["met"]), return_counts=True)
-        bits = np.zeros(own, np.uint8)
-        for value in (v[times > 1], read(pdf["shared"])):
-            bits[_bits(value, own).ravel()] = 1
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    out = np.zeros((buckets, own), np.uint8)
-    for r in blobs.groupBy("bucket").applyInPandas(build, "bucket int, bits binary").collect():  # bloom_bytes in all
-        out[r.bucket] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8))[:own]
-    return np.packbits(out.ravel())
-
-
-def occurrences(docs: DataFrame, length: int, held, buckets: int, own: int) -> DataFrame:
-    """``value, c1, c2, id, start, windows, run`` of the runs that the filter lets pass."""
+def occurrences(docs: DataFrame, length: int, held) -> DataFrame:
+    """``value, c1, c2, id, k, start, windows, run`` of the runs that the filter lets pass."""
 
     def run(batches):
-        packed = held.value
         for b in batches:
             ids, texts = b.column("id").to_numpy(), b.column("text").to_pylist()
             doc, start, windows, value, data = runs(texts, length)
-            place = (value & np.uint64(buckets - 1)).astype(np.int64)[None] * own + _bits(value >> np.uint64(24), own)
-            hit = np.flatnonzero(((packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).all(0))
+            hit = np.flatnonzero(held.value.may_share(value))
             doc, start, windows, value = doc[hit], start[hit], windows[hit], value[hit]
             begin = np.cumsum([0] + [len(t) for t in texts])[doc] + start
             pieces = [data[a : a + n] for a, n in zip(begin.tolist(), (windows + length - 1).tolist())]
             names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(ids[doc]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(pieces, pa.binary())],
-                ["value", "c1", "c2", "id", "start", "windows", "run"])
+                [pa.array(value.view(np.int64)), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(ids[doc]), b.column("k").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(pieces, pa.binary())],
+                ["value", "c1", "c2", "id", "k", "start", "windows", "run"])
 
-    return docs.mapInArrow(run, "value long, c1 long, c2 long, id long, start int, windows int, run binary")
+    return docs.mapInArrow(run, "value long, c1 long, c2 long, id long, k long, start int, windows int, run binary")
 
 
 def words_at(buf: np.ndarray) -> np.ndarray:
@@ -331,38 +281,35 @@ def losses(classes: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch, length: int, bloom_bytes: int) -> DataFrame:
-    """``id, spans`` (array of start and end bytes, in order) for first copies ``id, text`` that lose bytes."""
+    """``id, k, spans`` (array of start and end bytes, in order) for first copies ``id, k, text`` that lose bytes."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    buckets = 1 << max(6, min(12, (int(total) // 16_000_000).bit_length()))
-    own = max(64, bloom_bytes * 8 // buckets)
-    held = spark.sparkContext.broadcast(bloom(minimizer_blobs(docs, length, buckets), buckets, bloom_bytes))
+    held = spark.sparkContext.broadcast(shared_minimizers(docs, length, bloom_bytes))
     free_shuffles(spark)
     # The runs are made three times (a map over the texts) rather than kept with their bytes.
-    raw = occurrences(docs, length, held, buckets, own)
+    raw = occurrences(docs, length, held)
     classes = lambda rows: rows.groupBy("c1", "c2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("value").alias("value"), F.first("run").alias("run"))
     known = scratch.cut(classes(raw), "classes")
     free_shuffles(spark)
-    found = scratch.cut(raw.select("c1", "c2", "id", "start"), "runs")
-    hot = known.groupBy("value").count().where(F.col("count") > HOT_CLASSES).select("value")
+    found = scratch.cut(raw.select("c1", "c2", "id", "k", "start"), "runs")
+    hot = known.groupBy("value").agg(F.count("*").alias("c"), F.sum(F.length("run")).alias("b")).where((F.col("c") > HOT_CLASSES) | (F.col("b") > HOT_BYTES)).select("value")
     if not hot.limit(1).isEmpty():
         hot = scratch.cut(hot, "hot")
-        piece = F.expr(f"substring(run, k + 1, {length})")
-        single = raw.join(hot, "value", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
-        single = single.select("id", (F.col("start") + F.col("k")).alias("start"), piece.alias("run")).select(
-            F.xxhash64("run").alias("value"), F.xxhash64("run").alias("c1"), F.conv(F.substring(F.md5("run"), 1, 15), 16, 10).cast("long").alias("c2"), "id", "start", "run")
+        piece = F.expr(f"substring(run, w + 1, {length})")
+        single = raw.join(hot, "value", "left_semi").withColumn("w", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+        single = single.select("id", "k", (F.col("start") + F.col("w")).alias("start"), piece.alias("run")).select(
+            F.xxhash64("run").alias("value"), F.xxhash64("run").alias("c1"), F.conv(F.substring(F.md5("run"), 1, 15), 16, 10).cast("long").alias("c2"), "id", "k", "start", "run")
         known = known.join(hot, "value", "left_anti").unionByName(scratch.cut(classes(single), "classes-single"))
-        found = found.unionByName(scratch.cut(single.select("c1", "c2", "id", "start"), "single"))
+        found = found.unionByName(scratch.cut(single.select("c1", "c2", "id", "k", "start"), "single"))
         free_shuffles(spark)
     size = known.agg(F.sum(F.length("run"))).collect()[0][0] or 0
     lost = scratch.cut(losses(known, length, max(1, -(-int(size) // SHARD))), "losses")
     free_shuffles(spark)
-    gone = found.select("c1", "c2", "id", "start").join(lost, ["c1", "c2"]).where("low < id").select("id", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e"))
-    order = Window.partitionBy("id").orderBy("s", "e")
+    gone = found.select("c1", "c2", "id", "k", "start").join(lost, ["c1", "c2"]).where("low < id").select("id", "k", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e"))
+    order = Window.partitionBy("id", "k").orderBy("s", "e")
     far = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = gone.withColumn("new", F.when(far >= F.col("s"), 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    spans = scratch.cut(merged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
+    merged = islands.groupBy("id", "k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    spans = scratch.cut(merged.groupBy("id", "k").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
     scratch.drop("classes", "classes-single", "runs", "single", "losses")
     return spans
 
@@ -373,19 +320,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     ship(spark)
     scratch = Scratch(spark, "suffix")
     rows = _texts(docs, id_col, text_col)
-    names = scratch.cut(rows.where("id IS NOT NULL").select("id", F.octet_length("text").alias("n"), F.md5("text").alias("h")), "names")
-    first = names.where(F.col("n") >= length).groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
-    later = scratch.cut(names.join(first, "h").where("id > first").select("id", "h").distinct(), "later")
-    few = later.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    names = scratch.cut(rows.where("id IS NOT NULL").select("id", F.octet_length("text").alias("n"), F.md5("text").alias("h"), F.xxhash64("text").alias("x")), "names")
+    # Rows are told apart by (id, k): k is 0, or a hash of the text where an id has several texts.
+    several = scratch.cut(names.groupBy("id").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a != b").select("id"), "several")
+    if several.limit(1).isEmpty():
+        key = lambda df, x: df.withColumn("k", F.lit(0).cast("long"))
+    else:
+        few = several.limit(MAX_MARKS + 1).count() <= MAX_MARKS
+        marks = several.select(F.col("id").alias("_id"), F.lit(True).alias("_many"))
+        key = lambda df, x: df.join(F.broadcast(marks) if few else marks, F.col("id") == F.col("_id"), "left").withColumn("k", F.when(F.col("_many"), x).otherwise(F.lit(0))).drop("_id", "_many")
+    rows = key(rows, F.xxhash64("text"))
+    first = scratch.cut(names.where(F.col("n") >= length).groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first"), "first")
+    later = scratch.cut(key(names, F.col("x")).join(first, "h").where("id > first").select("id", "k").distinct(), "later")
+    scratch.drop("names")
     long = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    firsts = long.withColumn("h", F.md5("text")).join(F.broadcast(later) if few else later, ["id", "h"], "left_anti").select("id", "text")
-    spans = removed_spans(firsts, scratch, length, bloom_bytes)
-    whole = later.select("id", F.lit(True).alias("whole"), "h")
+    spans = removed_spans(restrict(long, ["id", "k"], later, "left_anti").select("id", "k", "text"), scratch, length, bloom_bytes)
     bound = spans.agg(F.sum(F.size("spans") * 16 + 64)).collect()[0][0] or 0
-    marks = spans.join(whole.select("id", "h"), "id", "full")
-    few = bound <= MAX_BROADCAST_BYTES and later.count() <= MAX_BROADCAST_BYTES // 64
-    spans = marks.groupBy("id").agg(F.first("spans", True).alias("spans"), F.collect_set("h").alias("copies")).withColumnRenamed("id", "i")
-    out = rows.join(F.broadcast(spans) if few else spans, F.col("id") == F.col("i"), "left").select("id", "text", "spans", F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False)).alias("whole"))
+    few = bound <= MAX_BROADCAST_BYTES and later.count() <= MAX_MARKS
+    marks = spans.select(F.col("id").alias("i"), F.col("k").alias("j"), "spans", F.lit(False).alias("whole")).unionByName(later.select(F.col("id").alias("i"), F.col("k").alias("j"), F.lit(None).alias("spans"), F.lit(True).alias("whole")))
+    out = rows.join(F.broadcast(marks) if few else marks, (F.col("id") == F.col("i")) & (F.col("k") == F.col("j")), "left").select("id", "text", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
 
     def run(batches):
         for b in batches:

@@ -71,6 +71,14 @@ def test_suffix_dedup_null_and_equal_ids(spark):
     assert got == [(0, 0), (4, 0), (4, 0), (9, len(t))]
 
 
+def test_suffix_dedup_tells_equal_ids_apart(spark):
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (7, a[:120] + b), (7, c), (7, a), (9, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df, bloom_bytes=1 << 12).collect())
+    assert got == [(1, 300, 0), (7, 300, 0), (7, 300, 300), (7, 420, 120), (9, 300, 300)]
+
+
 # --- 2 ---
 
 
