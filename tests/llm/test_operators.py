@@ -153,6 +153,30 @@ def test_pii_proof_of_rare_generators_comes_from_all_candidates(spark, monkeypat
     assert all("phone" in got[3000 + i].spans for i in range(120))
 
 
+def test_pii_redacts_each_row_by_its_own_spans(spark):
+    rows = [(1, "nothing here, contact me at jane.roe@corp.example please"), (1, "a@b.example is first"), (None, "ip 10.0.0.1 and c@d.example.org"), (2, None)]
+    got = sorted((r.doc_id or 0, r.text) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "ip [ip] and [email]"), (1, "[email] is first"), (1, "nothing here, contact me at [email] please"), (2, "")]
+
+
+def test_pii_adds_what_looks_like_announced_data(spark):
+    """Keys behind a cue teach the format; the same format is found without one, prose and plain long words are not."""
+    hexes = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'some words token = "{hexes(i)}" end') for i in range(300)] + [(1000 + i, f'some words and "{hexes(1000 + i)}" end') for i in range(6)]
+    rows += [(2000 + i, f"donaudampfschifffahrtsgesellschaft word{i} of-many-hyphens-and-parts") for i in range(200)]
+    got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    text = dict(rows)
+    for i in [*range(300), *range(1000, 1006)]:
+        at = text[i].index('"') + 1
+        assert f"secret:{at}:{at + 40}" in got[i].spans.split(",") and got[i].n_added == 1  # digits inside may pass as a card
+    assert not any(got[2000 + i].spans for i in range(200))
+
+
+def test_pii_adds_spans_on_the_test_tables(spark):
+    found = pii.find(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).agg(F.sum("n_added").alias("n"), F.sum((F.col("spans").contains("secret")).cast("int")).alias("s")).collect()[0]
+    assert found.n > 100 and found.s > 100
+
+
 def test_pii_tries_every_score(spark, monkeypatch):
     """The first good cutoff comes after 64 others."""
     stumps = [boosting.Node(0.0, pii.FEATURES.index("n"), 10.5 + i, boosting.Node(0.0), boosting.Node(1.0)) for i in range(120)]
