@@ -220,6 +220,32 @@ def test_quality_cutoffs_keep_their_promise(spark):
     assert all(got[i].kept == (i % 4 != 0) for i in range(4000))
 
 
+def test_quality_risk_on_fresh_documents(spark):
+    """Cutoffs from labelled documents lose at most alpha of the good ones among others of the same kind."""
+    rng = random.Random(11)
+
+    def text(good):
+        junk = rng.random() < (0.06 if good else 0.7)
+        return " ".join(f"w{rng.randrange(5000)}" + ("#$" if junk and rng.random() < 0.5 else "") for _ in range(70))
+
+    made = [(i, rng.random() < 0.8, ["en", "fr", None][i % 3]) for i in range(9000)]
+    rows = [(i, text(good), lang) for i, good, lang in made]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(good), 0) for i, good, _ in made if i < 6000], "doc_id long, quality int, toxic int")
+    for alpha in (0.04, 0.12):
+        kept = {r.doc_id: r.kept for r in quality_rules.judge(df, labels, alpha=alpha, price=1.0).collect()}
+        report = {r.stratum: r for r in quality_rules.certificates(df, labels, alpha=alpha, price=1.0).collect()}
+        assert all(r.bound <= alpha and r.n_good > 600 for r in report.values()) or alpha < 0.06
+        for lang in ("en", "fr", None):
+            fresh = [i for i, good, own in made if i >= 6000 and good and own == lang]
+            lost = sum(not kept[i] for i in fresh) / len(fresh)
+            assert lost <= alpha + 0.02
+        junk = [i for i, good, _ in made if i >= 6000 and not good]
+        assert (sum(not kept[i] for i in junk) / len(junk) > 0.6) == (alpha > 0.06)
+    stays = {r.doc_id for r in quality_rules.keep_good(df, labels, alpha=0.12, price=1.0).collect()}
+    assert stays == {i for i, k in kept.items() if k}
+
+
 # --- 5 ---
 
 
