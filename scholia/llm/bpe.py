@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import ship
+from scholia.llm.common import release, ship
 
 #: Pieces of at most so many bytes are encoded together and remembered. Beyond so many of them,
 #: only those of the current batch are kept. Tests of pairs are kept in bounded tables as well.
@@ -316,6 +316,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     ids.append(list(map(int, names)))
             cols = [b.column("id")] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [n for n, _ in fields])
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))
 

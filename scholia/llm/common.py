@@ -12,6 +12,7 @@ Conventions of the subpackage:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -19,6 +20,8 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,15 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def release() -> None:
+    """Hand memory that a worker no longer needs back to the system, as workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ship(spark: SparkSession, batch_bytes: int = 4 << 20) -> None:
     """Send this package to the executors, and bound Arrow batches by their bytes, whatever the texts' lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

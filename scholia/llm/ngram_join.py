@@ -45,10 +45,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholia.llm import twice
-from scholia.llm.common import WS_BYTES, Scratch, components, free_shuffles, restrict, ship
+from scholia.llm.common import WS_BYTES, Scratch, components, free_shuffles, release, restrict, ship
 
-STARS, ROUNDS, TILE, TILE_BYTES, TOP, MAX_HOT, CHUNK, PAIRS = 6, 8, 2048, 8 << 20, 200_000, 200_000, 4_000_000, 500_000
-BLOOM_BYTES, SEGMENT = 16 << 20, 1 << 20
+STARS, ROUNDS, TILE, TILE_BYTES, TOP, MAX_HOT, CHUNK, PAIRS = 6, 8, 2048, 8 << 20, 50_000, 200_000, 1_000_000, 200_000
+BLOOM_BYTES, SEGMENT, SLICE = 16 << 20, 1 << 20, 100_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), np.frombuffer(WS_BYTES, np.uint8))
 
@@ -278,6 +278,7 @@ def shared_shingles(docs: DataFrame, words: int, seed: int, bloom_bytes: int) ->
                     yield full
         if (rest := chunk.flush()) is not None:
             yield rest
+        release()
 
     return twice.build(docs.select("text").mapInArrow(run, twice.SCHEMA), buckets, bloom_bytes, MAX_HOT)
 
@@ -290,7 +291,8 @@ def postings(docs: DataFrame, words: int, seed: int, percent: int, shared) -> Da
         for b in batches:
             sets = [s for s in shingler.sets(texts_of(b)) if len(s)]
             tokens, nodes, sizes = [], [], []
-            level = shared.value.level(np.concatenate(sets)) if sets else np.zeros(0, np.uint8)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            level = np.concatenate([shared.value.level(flat[i : i + SLICE]) for i in range(0, len(flat), SLICE)] or [np.zeros(0, np.uint8)])
             at = 0
             for s in sets:
                 own = level[at : at + len(s)]
@@ -304,6 +306,7 @@ def postings(docs: DataFrame, words: int, seed: int, percent: int, shared) -> Da
                     sizes.append(left)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), np.array(sizes, np.int64)))], ["token", "node"])
+        release()
 
     return docs.mapInArrow(run, "token long, node long")
 
@@ -382,6 +385,7 @@ def tiles(scratch: Scratch, rows: DataFrame, maps: DataFrame, percent: int, part
             yield from pairs_of(rest, top)
         if best:
             yield of_components(top)
+        release()
 
     if best:
         found = placed.mapInArrow(run, "comp long, over double, a long, b long")
