@@ -248,6 +248,10 @@ class Vocabulary:
             self.memory = {p: x for p in pieces if len(p) <= SHORT_BYTES and (x := memory[p])}
         return memory
 
+    def forget(self) -> None:
+        """Empty the memory of pieces and pairs; the tables of the vocabulary stay."""
+        self.memory, self._pairs = {}, {}
+
     def pieces(self, text: str) -> list[str]:
         if self.latin and not NOT_LATIN.search(text):
             return self.latin.findall(text)
@@ -295,7 +299,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """``id_col, ids array<int>`` (if ``with_ids``), ``n_tokens, ids_sha256, decoded_sha256``.
 
     A map over Arrow batches: no shuffle, one pass over the texts. Workers keep the vocabulary
-    and its bounded caches between tasks.
+    between tasks, and its bounded caches during one.
     """
     ship(docs.sparkSession)
     fields = [(id_col, docs.schema[id_col].dataType.simpleString())] + [("ids", "array<int>")] * with_ids + [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
@@ -316,6 +320,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     ids.append(list(map(int, names)))
             cols = [b.column("id")] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [n for n, _ in fields])
+        v.forget()
         release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields))

@@ -48,7 +48,7 @@ from scholia.llm import twice
 from scholia.llm.common import WS_BYTES, Scratch, components, free_shuffles, release, restrict, ship
 
 STARS, ROUNDS, TILE, TILE_BYTES, TOP, MAX_HOT, CHUNK, PAIRS = 6, 8, 2048, 8 << 20, 50_000, 200_000, 1_000_000, 200_000
-BLOOM_BYTES, SEGMENT, SLICE = 16 << 20, 1 << 20, 100_000
+BLOOM_BYTES, SEGMENT, SLICE, BATCH = 16 << 20, 1 << 20, 100_000, 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.isin(np.arange(256), np.frombuffer(WS_BYTES, np.uint8))
 
@@ -488,7 +488,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, bloom_bytes: int = BLOOM_BYTES) -> DataFrame:
     """``id_col, n_shingles, component_id`` for each document; links are Jaccard similarities of at least percent / 100."""
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BATCH)
     found = linked(Scratch(docs.sparkSession, "near"), keyed(docs, id_col, text_col), words, percent, bloom_bytes)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
@@ -498,7 +498,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Of rows that share the smallest id one stays (the least by a hash of the text).
     """
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BATCH)
     scratch = Scratch(docs.sparkSession, "near")
     found = scratch.cut(linked(scratch, keyed(docs, id_col, text_col), words, percent, bloom_bytes).where("root IS NOT NULL").select("id", "k", "root", "component_id"), "found")
     scratch.drop("labels")
