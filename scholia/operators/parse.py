@@ -296,71 +296,79 @@ SECTIONS = [("links", ("連結", "links")), ("source_context", ("來源", "sourc
 LINKS = [("foundation_links", ("基於", "foundation")), ("derived_links", ("導向", "derived")), ("related_links", ("相關", "related")), ("contrast_links", ("對比", "contrast"))]
 HEADS = {"標題:": "title", "title:": "title", "類型:": "card_type", "type:": "card_type", "核心:": "core_summary", "core:": "core_summary", "標籤:": "tags", "tags:": "tags"}
 
+CARD_MARK = re.compile(r"===\s*CARD:\s*(?P<id>.+?)\s*===")
+FIELD = re.compile(rf"\s*(?P<head>{'|'.join(map(re.escape, HEADS))})(?P<value>.*)", re.I)
+HEADING = re.compile(r"[\s#*\-　]*(?P<words>[^\s#*\-　].*?)?[\s*]*[:：]+\s*")
+WIKI = re.compile(r"\[\[(?!-)\s*(?P<id>[^\]|]+?)\s*(?:\|[^\]]*)?\]\]")
+LISTED = re.compile(r"(?:^|[,:：→←↔⚡⬆⬇<>])\s*(?P<id>[A-Za-z][\w-]*\d)\s*(?=,|[→←↔⚡⬆⬇<>]|$)")
+
+
+def lines_of(body: str):
+    """``(kind, name, value)`` of each line of a card: a ``field``, the ``heading`` of a section, or a ``line``."""
+    for line in body.split("\n"):
+        if m := FIELD.fullmatch(line):
+            yield "field", HEADS[m["head"].lower()], m["value"].strip()
+            continue
+        m = HEADING.fullmatch(line)
+        words = (m["words"] or "").lower() if m else ""
+        named = [name for name, marks in SECTIONS if any(x in words for x in marks)] if 0 < len(words) <= 20 else []
+        yield ("heading", named[0], "") if named else ("line", "", line)
+
 
-def _heading(line: str) -> str | None:
-    core = line.strip().lstrip("#*-　 ").strip()
-    if core[-1:] not in (":", "："):
-        return None
-    core = core.rstrip(":：").strip().rstrip("*").strip().lower()
-    return next((name for name, words in SECTIONS if 0 < len(core) <= 20 and any(w in core for w in words)), None)
+def link_kind(line: str) -> str | None:
+    low = line.lower()
+    return next((kind for kind, marks in LINKS if any(x in low for x in marks)), None)
 
 
-def _targets(line: str) -> list[str]:
-    wiki = re.findall(r"\[\[([^\]]+)\]\]", line)
-    if wiki:
-        ids = [x.split("|")[0].strip() for x in wiki]
-        return [x for x in ids if len(x) > 2 and not x.endswith(".pdf") and not x.startswith("-")]
-    rest = re.split(r"[:：]|<?->|[→←↔⚡⬆⬇]", line, maxsplit=1)[-1]
-    ids = [x.strip() for x in re.sub(r"[→←↔⚡⬆⬇<>]", "", rest).split(",")]
-    return [x for x in ids if re.fullmatch(r"[A-Za-z][\w-]*\d", x)]
+def link_targets(line: str) -> list[str]:
+    """Ids in double brackets, without files; else the listed ids behind the line's first separator."""
+    if "[[" in line:
+        return [m["id"] for m in WIKI.finditer(line) if len(m["id"]) > 2 and not m["id"].endswith(".pdf")]
+    return [m["id"] for m in LISTED.finditer(line.strip()) if m.start() > 0]
 
 
 def generated_cards(text: str) -> list[dict]:
     """PRS3: the cards of a generated text, blocks that open with ``===CARD: id===``; those without a title are left out."""
-    parts = re.split(r"===\s*CARD:\s*(.+?)\s*===", text)
-    out = []
-    for card_id, body in zip(parts[1::2], parts[2::2]):
-        card = {"id": card_id, "title": "", "card_type": "concept", "core_summary": "", "tags": [], **{k: [] for k, _ in LINKS}, **{k: "" for k, _ in SECTIONS[1:]}}
-        now, held = None, {}
-        for line in body.split("\n"):
-            s = line.strip()
-            head = next((f for h, f in HEADS.items() if s.lower().startswith(h)), None)
-            if head:
-                value = s.split(":", 1)[1].strip()
-                card[head] = [t.strip() for t in value.split(",")] if head == "tags" else value
-            elif name := _heading(s):
-                now = name
-                held[now] = []
-            elif now == "links":
-                kind = next((k for k, words in LINKS if any(w in s.lower() for w in words)), None)
-                if kind:
-                    card[kind] += _targets(s)
-            elif now:
-                held[now].append(line)
-        for name, lines in held.items():
-            if name != "links" and (body_text := "\n".join(lines).strip()):
-                card[name] = body_text
-        if card["title"]:
-            out.append(card)
-    return out
+    marks = list(CARD_MARK.finditer(text))
+    cards = []
+    for mark, end in zip(marks, [m.start() for m in marks[1:]] + [len(text)]):
+        fields, sections, section = {"title": "", "card_type": "concept", "core_summary": ""}, {}, None
+        for kind, name, value in lines_of(text[mark.end() : end]):
+            if kind == "field":
+                fields[name] = value
+            elif kind == "heading":
+                section = name
+                sections[name] = sections.get(name, []) if name == "links" else []  # link sections add up, others start anew
+            elif section:
+                sections[section].append(value)
+        if not fields["title"]:
+            continue
+        tags = fields.pop("tags", None)
+        links = [(link_kind(x), x) for x in sections.pop("links", ())]
+        cards.append(
+            {"id": mark["id"], **fields, "tags": [t.strip() for t in tags.split(",")] if tags is not None else []}
+            | {kind: [t for own, x in links if own == kind for t in link_targets(x)] for kind, _ in LINKS}
+            | {name: "\n".join(sections.get(name, ())).strip() for name, _ in SECTIONS[1:]}
+        )
+    return cards
+
+
+#: Marks of slides in the order in which they are tried, and whether a title tells the title page (else the first place does).
+SLIDE_MARKS = [
+    (re.compile(r"===(?P<title>[^=]+)==="), True),
+    (re.compile(r"^[^\S\n]*\*\*投影片\s*\d+[：:]\s*(?P<title>.+?)\*\*[^\S\n]*$", re.M), False),
+    (re.compile(r"^[^\S\n]*#{1,3}[^\S\n]+(?P<title>.+)$", re.M), False),
+]
 
 
 def slides(text: str) -> list[dict]:
     """PRS4: slides marked by ``===title===``, else by bold numbered headings, else by ``#`` headings."""
-    parts = re.split(r"===([^=]+)===", text)
-    if len(parts) > 1:
-        return [{"title": t.strip(), "content": c.strip(), "type": "title" if "標題頁" in t or "Title" in t else "content"} for t, c in zip(parts[1::2], parts[2::2])]
-    for pattern in (r"\*\*投影片\s*\d+[：:]\s*(.+?)\*\*\s*$", r"#{1,3}\s+(.+)$"):
-        found: list[tuple[str, list[str]]] = []
-        for line in text.split("\n"):
-            m = re.match(pattern, line.strip())
-            if m:
-                found.append((m[1].strip(), []))
-            elif found:
-                found[-1][1].append(line)
-        if found:
-            last = len(found) - 1
-            return [{"title": t, "content": "\n".join(c).strip(), "type": "title" if i == 0 and last > 0 else "content"} for i, (t, c) in enumerate(found)]
+    for pattern, by_title in SLIDE_MARKS:
+        marks = list(pattern.finditer(text))
+        ends = [m.start() for m in marks[1:]] + [len(text)]
+        cover = [("標題頁" in m["title"] or "Title" in m["title"]) if by_title else m is marks[0] and len(marks) > 1 for m in marks]
+        if marks:
+            return [{"title": m["title"].strip(), "content": text[m.end() : e].strip(), "type": "title" if c else "content"} for m, e, c in zip(marks, ends, cover)]
     return []
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.operators.graph import cut
+
 # --- lookups -----------------------------------------------------------------------------------
 
 
@@ -99,22 +101,23 @@ def upsert_papers(old: DataFrame, new: DataFrame) -> DataFrame:
     """SNK1: new papers replace the fields of the paper they match by doi, else cite key, else path; others get ids.
 
     A null field of the new row keeps the old value. ``action`` tells what became of each row.
-    Of new rows that match one paper the last by path counts.
+    Of new rows that match one paper the last by path counts; rows without a path match by doi or cite key only.
     """
     fields = [c for c in old.columns if c != "id"]
-    n = new.select(*fields).withColumn("_row", F.monotonically_increasing_id())
+    n = cut(new.select(*fields).withColumn("_row", F.monotonically_increasing_id()))  # row ids stay as they are
     matches = None
     for tier, key in enumerate(("doi", "cite_key", "file_path")):
         have = old.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(F.col(key).alias("_k")).agg(F.min("id").alias("id"))
-        hit = n.join(have, n[key] == have["_k"]).select("file_path", "id", F.lit(tier).alias("tier"))
+        hit = n.join(have, n[key] == have["_k"]).select("_row", "id", F.lit(tier).alias("tier"))
         matches = hit if matches is None else matches.unionByName(hit)
-    best = matches.groupBy("file_path").agg(F.min_by("id", "tier").alias("_id"))
-    told = new.select(*fields).join(best, "file_path", "left")
-    changes = latest(told.where("_id IS NOT NULL"), ["_id"], [F.desc("file_path")])
+    best = matches.groupBy("_row").agg(F.min_by("id", "tier").alias("_id"))
+    told = n.join(best, "_row", "left")
+    changes = latest(told.where("_id IS NOT NULL"), ["_id"], [F.desc("file_path"), "_row"])
     updated = old.alias("o").join(changes.alias("c"), F.col("o.id") == F.col("c._id"), "left").select(
         "o.id", *[F.coalesce(f"c.{f}", f"o.{f}").alias(f) for f in fields], F.when(F.col("c._id").isNull(), "kept").otherwise("updated").alias("action"))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = latest(told.where("_id IS NULL"), ["file_path"], [F.desc("title")]).drop("_id")
+    told = told.where("_id IS NULL")  # new rows of one path are one paper; without a path each is its own
+    fresh = latest(told.where("file_path IS NOT NULL"), ["file_path"], [F.desc("title")]).unionByName(told.where("file_path IS NULL")).drop("_id", "_row")
     # Ids by range partitions: a count for each, so no single task numbers all rows.
     numbered = number(fresh, "file_path").crossJoin(F.broadcast(top))  # one row
     added = numbered.select((F.col("_top") + F.col("_nth")).alias("id"), *fields, F.lit("inserted").alias("action"))

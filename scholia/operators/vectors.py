@@ -35,8 +35,12 @@ def search_one(rows: DataFrame, query: list[float], k: int, where: Column | None
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """VEC2/JON12: ``query, id, similarity, rank``: for each of ``queries(id, v)`` the k most similar of ``rows(id, v)``."""
+    """VEC2/JON12: ``query, id, similarity, rank``: for each of ``queries(id, v)`` the k most similar of ``rows(id, v)``.
+
+    Null, empty and zero vectors have no direction and take no part.
+    """
     spark = rows.sparkSession
+    rows, queries = (x.where(F.exists("v", lambda c: c != 0)) for x in (rows, queries))
     n = queries.count()
     tiles = max(1, -(-n // MAX_QUERIES))
     found = None

@@ -55,6 +55,34 @@ def test_normalise_and_spacing():
     assert grounding.same_up_to_spacing("re-use it", "reuse  it") and not grounding.same_up_to_spacing("a", "b")
 
 
+def test_normalise_places_and_gate(spark):
+    raw = " “A\u00a0 b” co-\n  op ﬁx - y\t"
+    text, at = grounding.normalise(raw)
+    assert text == '"A b" coop fix - y' and len(at) == len(text) and all(raw[i] in " \u00a0" if c == " " else True for c, i in zip(text, at))
+    long = "word " * 60 + "a claim that stands here"
+    rows = [("a", "a claim that stands here", long), ("b", "a claim that stands here", "too short"), ("c", "nowhere to be found, this other one", long), ("d", "x y", None)]
+    got = {r.id: (r.verdict, r.disposition) for r in grounding.gate(spark.createDataFrame(rows, "id string, core string, source string")).collect()}
+    assert got == {"a": ("EXACT", "keep"), "b": ("UNCHECKED", "keep"), "c": ("NOT_FOUND", "erase"), "d": ("UNCHECKED", "keep")}
+
+
+def test_upsert_without_paths(spark):
+    from scholia.operators import store
+
+    schema = "id long, title string, doi string, cite_key string, file_path string"
+    old = spark.createDataFrame([(1, "One", "10.1/a", None, "p1"), (2, "Two", None, "k2", "p2")], schema)
+    new = spark.createDataFrame([(0, "One b", "10.1/a", None, None), (0, "New", None, None, None), (0, "Newer", "10.1/z", None, None), (0, "Two b", None, "k2", "p9")], schema)
+    got = sorted((r.id, r.title, r.action) for r in store.upsert_papers(old, new).collect())
+    assert got[:2] == [(1, "One b", "updated"), (2, "Two b", "updated")]
+    assert sorted(x[1:] for x in got[2:]) == [("New", "inserted"), ("Newer", "inserted")] and [x[0] for x in got[2:]] == [3, 4]
+
+
+def test_nearest_leaves_out_vectors_without_direction(spark):
+    from scholia.operators import vectors
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [])], "id long, v array<double>")
+    assert [(r["query"], r.id) for r in vectors.nearest(df, df, 3).orderBy("query", "id").collect()] == [(1, 2), (2, 1)]
+
+
 # --- parsing ---
 
 
