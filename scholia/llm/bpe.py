@@ -29,7 +29,7 @@ from scholia.llm.common import release, ship
 
 #: Pieces of at most so many bytes are encoded together and remembered. Beyond so many of them,
 #: only those of the current batch are kept. Tests of pairs are kept in bounded tables as well.
-SHORT_BYTES, CACHED_PIECES, CACHED_PAIRS, PAIR_SLOTS = 48, 300_000, 200_000, 1 << 20
+SHORT_BYTES, CACHED_PIECES, CACHED_PAIRS, PAIR_SLOTS, BATCH = 48, 120_000, 100_000, 1 << 20, 1 << 20
 
 #: The standard library's engine is faster, but knows no \\p classes: for texts below U+0250 the
 #: letters, numbers and white space are listed. Used only for the pattern that it spells out.
@@ -301,7 +301,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     A map over Arrow batches: no shuffle, one pass over the texts. Workers keep the vocabulary
     between tasks, and its bounded caches during one.
     """
-    ship(docs.sparkSession)
+    ship(docs.sparkSession, BATCH)
     fields = [(id_col, docs.schema[id_col].dataType.simpleString())] + [("ids", "array<int>")] * with_ids + [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
 
     def run(batches):
@@ -317,7 +317,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 digests.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join(map(v.named.__getitem__, names))).hexdigest())
                 if with_ids:
-                    ids.append(list(map(int, names)))
+                    ids.append(np.fromstring(joined, np.int32, sep=" "))
             cols = [b.column("id")] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [n for n, _ in fields])
         v.forget()
