@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from scholia.operators import graph, grounding, parse, relations, resolve, search
+from scholia.operators import cooccurrence, graph, grounding, parse, relations, resolve, search
 from scholia.streaming import usage_stream
 
 # --- grounding: golden cases ---
@@ -313,3 +313,14 @@ def test_streaming_rollup_equals_batch(spark, tmp_path):
     q.stop()
     batch = events.groupBy(F.to_date("ts").alias("day"), "model").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
     assert sorted(map(tuple, spark.table("rollup").collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("threshold", [0.65, 0.4, 1.0])
+def test_similar_titles_are_all_pairs_above_the_threshold(spark, threshold):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["a", "B", "c", "deep", "深度", "e", "f", "g"]) for _ in range(rng.randint(1, 6)))) for i in range(120)] + [(900, None), (901, " ")]
+    sets = {i: set(t.lower().split()) for i, t in rows if t and t.split()}
+    want = {(i, j): len(x & y) / len(x | y) for i, x in sets.items() for j, y in sets.items() if i < j and len(x & y) / len(x | y) >= threshold}
+    got = cooccurrence.similar_titles(spark.createDataFrame(rows, "id long, title string"), threshold).collect()
+    assert len(got) == len(want) and {(r.id_a, r.id_b): r.similarity for r in got} == want
+    assert all(r.common == " ".join(sorted(sets[r.id_a] & sets[r.id_b])) for r in got)
