@@ -5,7 +5,7 @@ derived from them: documents holding a key, and the largest of their ids. Keys h
 ``min_docs`` documents are frequent; each shard of the key space has a cuckoo filter of its
 frequent keys. Filters answer "surely not frequent" for most lines, so only lines that pass are
 joined with the exact counts, which decide. Documents can be inserted and deleted later: postings
-come and go, counts follow, and fingerprints of keys that cross the threshold are added to or
+come and go, the counts take in the change alone, and fingerprints of keys that cross the threshold are added to or
 removed from the filters, so that deleting what was inserted restores the earlier state.
 
 A key is a line without the ASCII white space at its ends and with A-Z lower-cased; keys shorter
@@ -160,6 +160,35 @@ def delete(posts: DataFrame, ids: DataFrame) -> DataFrame:
     return posts.join(ids.select(F.col(ids.columns[0]).alias("_scholia_id")).distinct(), F.col("doc").eqNullSafe(F.col("_scholia_id")), "left_anti")
 
 
+def held_by(posts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The postings that ``delete`` takes away."""
+    return posts.join(ids.select(F.col(ids.columns[0]).alias("_scholia_id")).distinct(), F.col("doc").eqNullSafe(F.col("_scholia_id")), "left_semi")
+
+
+def updated_counts(counts: DataFrame, posts: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """``reference_counts(posts)`` from the counts before the postings ``added`` came and ``removed`` went.
+
+    Only the change is aggregated. Postings are read again just for keys that lost their largest id
+    and keep others; keys without a change pass through, keys without a document go.
+    """
+    parts = [x.select("k1", "k2", F.lit(sign).alias("sign"), F.col("doc") if sign > 0 else F.lit(None).alias("doc"), F.col("doc").alias("gone") if sign < 0 else F.lit(None).alias("gone")) for x, sign in ((added, 1), (removed, -1)) if x is not None]
+    if not parts:
+        return counts
+    key = ["k1", "k2"]
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    change = both.groupBy(key).agg(F.sum("sign").alias("more"), F.max("doc").alias("up"), F.max("gone").alias("gone"))
+    met = counts.join(change, key)
+    moved = met.select(
+        *key, (F.col("n_docs") + F.col("more")).alias("n_docs"), F.greatest("max_doc", "up").alias("max_doc"),
+        (F.col("gone").eqNullSafe(F.col("max_doc")) & F.col("gone").isNotNull() & (F.col("up").isNull() | (F.col("up") < F.col("max_doc")))).alias("stale"),
+    ).where("n_docs > 0")
+    fresh = change.join(met.select(*key), key, "left_anti").where("more > 0").select(*key, F.col("more").alias("n_docs"), F.col("up").alias("max_doc"))
+    stale = moved.where("stale").select(*key, "n_docs")
+    again = posts.join(stale, key).groupBy(key).agg(F.first("n_docs").alias("n_docs"), F.max("doc").alias("max_doc"))
+    rest = counts.join(change.select(*key), key, "left_anti")
+    return rest.unionByName(moved.where("NOT stale").drop("stale")).unionByName(again).unionByName(fresh)
+
+
 def _sharded(keys: DataFrame, shards: int) -> DataFrame:
     return keys.withColumn("shard", F.pmod(F.shiftright("k2", 20), F.lit(shards)).cast("int"))
 

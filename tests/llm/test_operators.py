@@ -294,6 +294,30 @@ def test_line_index_insert_then_delete(spark, docs, rows):
         assert new[(r.k2 >> 20) % 3].holds(np.array([r.k1]), np.array([r.k2]))[0]
 
 
+def test_line_counts_follow_inserts_and_deletes(spark, docs, rows):
+    """Counts kept by changes alone equal those counted anew, and come back after a delete of what was inserted."""
+    scratch, third = Scratch(spark, "t"), F.col("doc_id") % 3 == 0
+    line = rows[0][1].split("\n")[0] + " a line of more than forty characters, in any case"
+    odd = spark.createDataFrame([(None, line), (None, line), (2000, line), (1, line + "\nnew " + line)], "doc_id long, text string")
+    posts = scratch.cut(line_dedup.postings(docs.where(~third)), "p0")
+    counts = first = scratch.cut(line_dedup.reference_counts(posts), "c0")
+    batches = [docs.where(third).select("doc_id", "text"), odd]
+    for i, batch in enumerate(batches):
+        added = line_dedup.postings(batch)
+        posts = scratch.cut(line_dedup.insert(posts, batch), f"pi{i}")
+        counts = scratch.cut(line_dedup.updated_counts(counts, posts, added=added), f"ci{i}")
+        assert sorted(map(str, counts.collect())) == sorted(map(str, line_dedup.reference_counts(posts).collect()))
+    largest = counts.where("max_doc IS NOT NULL").select("max_doc").distinct().limit(9)
+    more = scratch.cut(line_dedup.updated_counts(counts, line_dedup.delete(posts, largest), removed=line_dedup.held_by(posts, largest)), "large")
+    assert sorted(map(str, more.collect())) == sorted(map(str, line_dedup.reference_counts(line_dedup.delete(posts, largest)).collect()))
+    for i, ids in enumerate((spark.createDataFrame([(None,), (2000,)], "x long"), batches[0].select("doc_id"))):
+        removed, posts = line_dedup.held_by(posts, ids), scratch.cut(line_dedup.delete(posts, ids), f"pd{i}")
+        counts = scratch.cut(line_dedup.updated_counts(counts, posts, removed=removed), f"cd{i}")
+        assert sorted(map(str, counts.collect())) == sorted(map(str, line_dedup.reference_counts(posts).collect()))
+    own = spark.createDataFrame([(1,)], "x long")
+    assert line_dedup.held_by(posts, own).count() > 0 and counts.count() >= first.count()
+
+
 # --- 6 ---
 
 URLS = [
