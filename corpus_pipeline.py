@@ -1,11 +1,13 @@
 """A training-data pipeline of five operators: what each stage keeps is written and read by the next.
 
-SQL can't express stages 3 to 5, so there is no SQL for the whole. Each stage's operator is tested
-against a plain Python version in tests/llm; the chain as a whole has no test of its own yet.
+SQL can't express stages 3 to 5, so there is no SQL for the whole; the tests compare the whole
+chain with plain Python versions of its stages.
 
 Edge cases are those of the operators: null and empty texts fail the base quality rule and go in
-the first stage; repeated rows and ids are documents each until the third stage keeps one of a
-group; an empty table gives an empty result; all but the last stage return all columns they get.
+the first stage; repeated rows are documents each until the third stage keeps one of a group;
+other texts of one id are documents of their own; rows with a null id are linked with nothing and
+stay; texts of any length are read whole; an empty table gives an empty result; all but the last
+stage return all columns they get, whatever their names.
 """
 
 from __future__ import annotations
