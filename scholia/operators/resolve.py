@@ -118,9 +118,9 @@ def _best_in_tile(left: list[tuple], right: list[tuple], threshold: float) -> li
     return out
 
 
-def best_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def best_titles(left: DataFrame, right: DataFrame, threshold: float, by: str | None = None) -> DataFrame:
     """JON10/TOP9: for each left ``l, title`` the right ``r, title`` of the largest ratio of at least the threshold,
-    ties to the smaller r. Empty titles match nothing.
+    ties to the smaller r. Empty titles match nothing; with ``by`` only titles of one value of that column meet.
 
     Lossless: a ratio of t needs lengths within a factor of (2 - t) / t, so titles meet those of the same and the
     two neighbouring classes of length, in tiles; there the bounds of ``_best_in_tile`` spare most comparisons.
@@ -129,27 +129,31 @@ def best_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
         raise ValueError("the threshold lies above 0 and is at most 1")
     width = max(math.log((2 - threshold) / threshold), 0.05) + 1e-6
     kinds = {i: d.schema[i].dataType.simpleString() for i, d in (("l", left), ("r", right))}
+    extra = [by] if by else []
+    group = ["band", *extra]
 
     def plain(rows: DataFrame, i: str) -> DataFrame:
         def run(batches):
             for batch in batches:
                 t = [(x or "").strip().lower() for x in batch.column("title").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(i), pa.array(t, pa.string()), pa.array([int(math.log(len(x)) / width) if x else None for x in t], pa.int32())], [i, "t", "band"])
+                bands = pa.array([int(math.log(len(x)) / width) if x else None for x in t], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(i), pa.array(t, pa.string()), bands, *[batch.column(c) for c in extra]], [i, "t", *group])
 
-        return rows.select(i, "title").mapInArrow(run, f"{i} {kinds[i]}, t string, band int").where("band IS NOT NULL")
+        more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in extra)
+        return rows.select(i, "title", *extra).mapInArrow(run, f"{i} {kinds[i]}, t string, band int{more}").where("band IS NOT NULL")
 
     a = plain(left, "l").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     b = plain(right, "r")
-    tiles = a.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("na")).join(b.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")), "band")
-    tiles = F.broadcast(tiles)  # a row a class of length
-    a = a.join(tiles, "band").select("band", F.pmod(F.xxhash64("l"), "na").cast("int").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), "l", "t")
-    b = b.join(tiles, "band").select("band", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"), F.pmod(F.xxhash64("r"), "nb").cast("int").alias("tb"), "r", "t")
+    tiles = a.groupBy(*group).agg(F.ceil(F.count("*") / TILE).cast("int").alias("na")).join(b.groupBy(*group).agg(F.ceil(F.count("*") / TILE).cast("int").alias("nb")), group)
+    tiles = tiles if by else F.broadcast(tiles)  # a row a class of length
+    a = a.join(tiles, group).select(*group, F.pmod(F.xxhash64("l"), "na").cast("int").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("tb"), "l", "t")
+    b = b.join(tiles, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ta"), F.pmod(F.xxhash64("r"), "nb").cast("int").alias("tb"), "r", "t")
 
     def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         got = _best_in_tile(list(zip(x["l"].tolist(), x["t"])), list(zip(y["r"].tolist(), y["t"])), threshold) if len(x) and len(y) else []
         return pd.DataFrame(got, columns=["l", "r", "ratio"])
 
-    key = ["band", "ta", "tb"]
+    key = [*group, "ta", "tb"]
     found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(tile, f"l {kinds['l']}, r {kinds['r']}, ratio double")
     w = Window.partitionBy("l").orderBy(F.desc("ratio"), "r")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("l", "r", "ratio")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scholia.plans import analytics, relational, texts
+from scholia.plans import analytics, library, relational, texts
 
-MODULES = [relational, analytics, texts]
+MODULES = [relational, analytics, texts, library]
 
 
 def queries() -> dict:
