@@ -14,7 +14,8 @@ than ``min_chars`` code points are ignored. Keys stand for 128-bit hashes of the
 Scale: postings are 16 bytes and an id for each eligible line; reference counts are partial
 aggregates, so a line held by a third of all documents is one row for each task; the join with the
 counts is a shuffle join that the adaptive plan may split or broadcast. Filters are broadcast only
-up to ``max_filter_bytes``; beyond, all postings are joined.
+up to ``max_filter_bytes``; beyond, postings go to the filter of their shard, the postings of a shard in
+parts of about ``PROBE_ROWS``, each with a copy of the filter.
 
 Edge cases: a null or empty text is one empty line; a row is a document, rows with one id count
 each and all of them keep what the largest id keeps; null ids come before all others; an empty
@@ -33,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholia.llm.common import WS_BYTES, Scratch, ship
+from scholia.llm.common import MAX_BROADCAST_IDS, WS_BYTES, Scratch, ship
 
-KEYS_PER_SHARD, MAX_FILTER_BYTES, MAX_BROADCAST_DROPS = 40_000, 32 << 20, 400_000
+KEYS_PER_SHARD, MAX_FILTER_BYTES, MAX_BROADCAST_DROPS, PROBE_ROWS = 40_000, 32 << 20, 400_000, 1_000_000
 
 
 class Full(Exception):
@@ -233,13 +234,32 @@ def frequent_keys(scratch: Scratch, posts: DataFrame, min_docs: int) -> DataFram
     return scratch.cut(reference_counts(posts).where(F.col("n_docs") >= min_docs), "frequent")
 
 
-def drops(scratch: Scratch, posts: DataFrame, min_docs: int, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def probe_by_shard(posts: DataFrame, table: DataFrame, shards: int, rows: int = PROBE_ROWS) -> DataFrame:
+    """The postings that the filters of ``table(shard, filter)`` let pass. No filter is collected or broadcast."""
+    own = _sharded(posts, shards)
+    parts = own.groupBy("shard").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")).join(table.select("shard"), "shard")
+    parts = F.broadcast(parts) if shards <= MAX_BROADCAST_IDS else parts  # a row a shard
+    left = own.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc", "k1"), F.col("parts")).cast("int")).drop("parts")
+    right = table.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter")
+
+    def probe(lines: pa.Table, held: pa.Table) -> pa.Table:
+        lines = lines.select(["k1", "k2", "doc"])
+        if not lines.num_rows or not held.num_rows:
+            return lines.slice(0, 0)
+        f = Cuckoo.from_bytes(held.column("filter")[0].as_py())
+        return lines.filter(pa.array(f.holds(lines.column("k1").to_numpy(), lines.column("k2").to_numpy())))
+
+    key = ["shard", "part"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(probe, posts.schema)
+
+
+def drops(scratch: Scratch, posts: DataFrame, min_docs: int, max_filter_bytes: int | None = None) -> DataFrame:
     """``doc, k1, k2``: the keys that each document loses."""
     spark = posts.sparkSession
     frequent = frequent_keys(scratch, posts, min_docs)
     n = frequent.count()
     shards = max(1, -(-n // KEYS_PER_SHARD))
-    if n * 10 <= max_filter_bytes:  # a filter has at most 10 bytes a key
+    if n * 10 <= (MAX_FILTER_BYTES if max_filter_bytes is None else max_filter_bytes):  # a filter has at most 10 bytes a key
         held = spark.sparkContext.broadcast({r.shard: bytes(r.filter) for r in filters(frequent, shards).collect()})
 
         def probe(batches):
@@ -254,6 +274,8 @@ def drops(scratch: Scratch, posts: DataFrame, min_docs: int, max_filter_bytes: i
                 yield b.filter(pa.array(keep))
 
         posts = posts.mapInArrow(probe, posts.schema)
+    else:
+        posts = probe_by_shard(posts, scratch.cut(filters(frequent, shards), "filters"), shards)
     return posts.join(frequent, ["k1", "k2"]).where(~F.col("doc").eqNullSafe(F.col("max_doc"))).select("doc", "k1", "k2")
 
 
@@ -293,7 +315,7 @@ def dedup(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col:
     scratch = Scratch(docs.sparkSession, "lines")
     posts = scratch.cut(postings(docs, id_col, text_col, min_chars), "postings")
     lost = scratch.cut(drops(scratch, posts, min_docs), "drops")
-    scratch.drop("postings", "frequent")
+    scratch.drop("postings", "frequent", "filters")
     return rewrite(docs, lost, columns, id_col, text_col, min_chars)
 
 

@@ -267,6 +267,22 @@ def test_line_dedup_without_broadcast(docs, monkeypatch):
     assert by_id(line_dedup.dedup_report(docs)) == want
 
 
+def test_lines_probe_the_filter_of_their_shard(spark, docs, monkeypatch):
+    """Filters that are not broadcast let all frequent lines pass, hardly any other, and each posting once; null ids stay null."""
+    scratch = Scratch(spark, "t")
+    posts = scratch.cut(line_dedup.postings(docs).withColumn("doc", F.when(F.col("doc") % 7 != 0, F.col("doc") + (1 << 60))), "p")
+    frequent = scratch.cut(line_dedup.frequent_keys(Scratch(spark, "t"), posts, 5), "f")
+    got = line_dedup.probe_by_shard(posts, scratch.cut(line_dedup.filters(frequent, 3), "t"), 3, rows=7)
+    assert got.schema == posts.schema
+    must = [tuple(r) for r in posts.join(frequent.select("k1", "k2"), ["k1", "k2"], "left_semi").collect()]
+    rows = [tuple(r) for r in got.collect()]
+    assert must and set(must) <= set(rows)
+    assert len(must) <= len(rows) <= len(must) + 3 and any(r[2] is None for r in rows)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 2)
+    lost = [sorted(map(str, line_dedup.drops(Scratch(spark, "t"), posts, 5, most).collect())) for most in (None, 0)]
+    assert lost[0] == lost[1] and lost[0]
+
+
 def test_cuckoo_filter_is_reversible():
     rng = np.random.default_rng(1)
     k = rng.integers(-(2**63), 2**63, size=(3000, 2))
