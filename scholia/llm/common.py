@@ -69,6 +69,15 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Let the executors' JVMs hand back heap that finished stages left, as Python workers share their memory limit.
+
+    One empty task a core, each collecting garbage; an executor that gets none only keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def release() -> None:
     """Hand memory that a worker no longer needs back to the system, as workers live on after a task."""
     gc.collect()
