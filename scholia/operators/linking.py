@@ -1,8 +1,8 @@
 """Links between cards, papers, files and bibliography entries, and what an import makes of them.
 
 Substring conditions ("the title contains this") are answered by equi-joins on short grams: of each
-needle the gram that fewest texts hold is looked up, and the candidates are verified. No side is
-broadcast and no pair is formed that does not share that gram.
+needle the gram that fewest texts hold is looked up, and the candidates are verified. Texts are never
+broadcast (grams of needles are, up to a checked size) and no pair is formed that does not share that gram.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from scholia.operators.store import clean_doi, latest
 
 #: Characters of the grams that substrings are looked up by; shorter needles use their own length.
 GRAM = 8
+#: Needles up to which their grams are sent to every executor, so that texts are not moved.
+MAX_NEEDLES = 50_000
 
 
 @F.pandas_udf(StringType())
@@ -34,22 +36,25 @@ def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
 
     Case is told apart, so callers lower both sides. Null and empty needles are in no text.
     """
-    n = needles.select("needle").where("needle <> ''").distinct()
+    n = cut(needles.select("needle").where("needle <> ''").distinct())
     sizes = [r.k for r in n.select(F.least(F.length("needle"), F.lit(GRAM)).alias("k")).distinct().collect()]  # at most GRAM
     if not sizes:
         return n.select("needle").crossJoin(texts.select("t").limit(0))
     cuts = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substr(c, i, F.lit(k)))
     texts = cut(texts.select("t", "text"))
-    each = [texts.where(F.length("text") >= k).select("t", F.explode(F.array_distinct(cuts(F.col("text"), k))).alias("gram")) for k in sizes]
+    each = [texts.where(F.length("text") >= k).select("t", "text", F.explode(F.array_distinct(cuts(F.col("text"), k))).alias("gram")) for k in sizes]
     grams = each[0]
     for more in each[1:]:
         grams = grams.unionByName(more)
     k = F.least(F.length("needle"), F.lit(GRAM))
     own = n.select("needle", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("needle") - k + 1), lambda i: F.substr(F.col("needle"), i, k)))).alias("gram"))
-    held = grams.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # Sizes of exploded grams are guessed far too small, so it is said which side may be broadcast: never the texts'.
+    few = n.count() <= MAX_NEEDLES and (own.agg(F.sum(F.octet_length("gram") + 64)).collect()[0][0] or 0) <= 32 << 20
+    small = F.broadcast if few else lambda df: df.hint("merge")
+    held = grams.select("gram").join(small(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     # A gram that no text holds rules its needle out: it counts as 0 and meets nothing.
-    rare = own.join(held, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return rare.join(grams, "gram").join(texts, "t").where(F.contains("text", "needle")).select("needle", "t")
+    rare = cut(own.join(held, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))
+    return grams.join(small(rare), "gram").where(F.contains("text", "needle")).select("needle", "t")
 
 
 # --- lookups -----------------------------------------------------------------------------------
